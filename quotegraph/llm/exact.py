@@ -45,6 +45,7 @@ def _keyed_state(slim: DataFrame, folder: str, bytes_per_batch: int) -> DataFram
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else megabytes lie reserved for each partition
     spark.conf.set("spark.sql.shuffle.partitions", slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))
     stream = spark.readStream.schema(slim.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(slim._written_at)
