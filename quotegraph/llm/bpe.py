@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from quotegraph.plans.shared import fresh_path
 
 #: The lexicon: words seen at least MIN_COUNT times in all documents, the MAX_WORDS most frequent.
-MIN_COUNT, MAX_WORDS = 32, 1 << 15
-#: Words whose encodings a worker keeps at hand; when full it starts afresh.
-CACHE_WORDS, CACHE_WORD_LENGTH = 1 << 17, 64
+MIN_COUNT, MAX_WORDS = 8, 1 << 17
+#: Words whose encodings a worker keeps at hand; when full they become an older generation, from which words in use come back.
+CACHE_WORDS, CACHE_WORD_LENGTH = 300_000, 64
 _MAGIC = b"QGMAT001"
 
 
@@ -70,9 +70,25 @@ class Vocabulary:
         return self.words.findall(text)
 
     def merge(self, word: str) -> list[int]:
-        """The ids of a word by its merge ranks, in O(n log n)."""
+        """The ids of a word by its merge ranks: the lowest rank first, the leftmost of equal ones."""
         parts = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.suffix
+        if len(parts) > 32:
+            return self._merge_long(parts)
+        get, never = self.ranks.get, len(self.ranks)
+        ranks = [get(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < never:
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), never)
+        return [self.ids[p] for p in parts]
+
+    def _merge_long(self, parts: list[str]) -> list[int]:
+        """The same with a heap, in O(n log n)."""
         n, ranks = len(parts), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -177,6 +193,8 @@ class Transducer:
         self.root, self.labels_at = states - 1, at - arcs
 
     def get(self, word: str) -> list[int] | None:
+        if len(word) > CACHE_WORD_LENGTH:
+            return None
         first, target, output, offsets, ids, final, _ = self.parts
         state, ordinal, find, base = self.root, 0, self.map.find, self.labels_at
         for label in word.encode("utf-8", "surrogatepass"):
@@ -192,9 +210,17 @@ class _Known(dict):
     """Word to (ids as text, tokens as text), from the transducer or by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
-        self.vocabulary, self.lexicon, self.merged = vocabulary, lexicon, 0
+        self.vocabulary, self.lexicon, self.merged, self.older = vocabulary, lexicon, 0, {}
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> str:
+        if (text := self.older.get(word)) is not None:
+            self[word] = text
+            return text
         ids = self.lexicon.get(word) if self.lexicon else None
         if ids is None:
             ids, self.merged = self.vocabulary.merge(word), self.merged + 1
@@ -215,9 +241,7 @@ class Encoder:
     def encode_text(self, text: str | None) -> str:
         """The ids in decimal, joined by one space."""
         text, v = text or "", self.vocabulary
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.spelled.clear()
+        self.known.age()
         if not v.cut or "<|" not in text and not v.cut.search(text):
             return " ".join(map(self.known.__getitem__, v.split(text)))
         out, at = [], 0
