@@ -104,7 +104,8 @@ def neighbour_sums(docs: DataFrame) -> DataFrame:
         sums = total.reshape(BUCKETS, DIM, 2)
         sums = (sums[:, :, 0] - sums[:, :, 1]).reshape(-1, PIECE * DIM)
         some = np.flatnonzero(sums.any(1))
-        yield pd.DataFrame({"piece": some.astype(np.int32), "sums": list(sums[some])})
+        if len(some):
+            yield pd.DataFrame({"piece": some.astype(np.int32), "sums": list(sums[some])})
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"piece": part["piece"][:1], "sums": [np.sum(np.stack(part["sums"].to_list()), axis=0)]})
