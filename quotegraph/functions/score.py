@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quotegraph.functions.text import S, W, full_match, strip
 
@@ -91,7 +92,7 @@ def rerank_score(query: Column, quote: Column, author: Column, work: Column, bas
     return (base * 0.2 + length * 0.1 + by_author * 0.5 + by_work * 0.1 + coverage * 0.1) * prefix
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; it isn't symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")

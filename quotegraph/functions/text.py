@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space, digits and word characters as the patterns below mean them (Java's own classes are ASCII).
 S = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -84,17 +85,17 @@ def markup_remnants(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "'{2,5}", ""), "<[^>]+>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(c: pd.Series) -> pd.Series:
     return c.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def accent_key(c: pd.Series) -> pd.Series:
     """A name's key: lower case, accents dropped, white space collapsed."""
 
