@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quotegraph.functions import dialogue, extract, score, text
 from quotegraph.operators import dedup, graph, search, vectors
 from quotegraph.operators.components import connected_components
-from quotegraph.plans.shared import materialize
+from quotegraph.plans.shared import fresh_path, materialize
+from quotegraph.sources import pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -506,3 +507,164 @@ def dup7_review_pairs(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("quote_id"), "embedding", F.col("label").cast("string").alias("author"))
     pairs = vectors.review_pairs(e.join(quotes(s, d).select("quote_id", "text"), "quote_id", "left").fillna({"text": ""}), 0.5)
     return materialize(pairs, "review-pairs")
+
+
+# pages
+_CATEGORIES = ("[[Category:American poets]] [[Category:1900 births]]", "[[Category:Novels by Ann Example|Key]]", "[[Category:Living people]]")
+_CATEGORY_SQL = "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CATEGORIES)) + " ELSE '' END"
+
+
+@query("SELECT page_id::VARCHAR AS title, url AS text FROM pages WHERE page_id % 4 <> 0 AND url <> ''")
+def src1_page_dump(s, d):
+    """Writes the urls as a dump of pages, a fourth of them in another namespace, and scans it."""
+    path = fresh_path(s, "dump")
+    ns = F.when(F.col("page_id") % 4 == 0, "1").otherwise("0")
+    dump = table(s, d, "pages").select(F.col("page_id").cast("string").alias("title"), ns.alias("ns"), F.struct(F.col("url").alias("text")).alias("revision"))
+    dump.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
+    return pages.read_pages(s, path)
+
+
+@query(
+    rf"""WITH c AS (SELECT page_id, regexp_extract_all(html || ' ' || {_CATEGORY_SQL}, '\[\[Category:([^\n]*?)\]\]', 1) AS cats FROM pages),
+w AS (SELECT page_id, cats, list_transform(cats, lambda c: lower(c)) AS low, list_filter(list_transform(cats, lambda c: regexp_extract(c, '(?i)(?:films|novels|plays|books|speeches|essays) by (.+)', 1)), lambda a: a <> '') AS made FROM c),
+m(word, role) AS (VALUES """
+    + ", ".join(f"('{k}', '{v}')" for k, v in extract.ROLES.items())
+    + """), r AS (SELECT page_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM w, m WHERE len(list_filter(low, lambda c: contains(c, word))) > 0 GROUP BY page_id)
+SELECT page_id, CASE WHEN len(made) > 0 THEN 'Work' WHEN roles IS NOT NULL OR len(list_filter(low, lambda c: contains(c, 'births') OR contains(c, 'deaths') OR contains(c, 'living people'))) > 0 THEN 'Person' ELSE 'Source' END AS entity_type,
+ coalesce(roles, '') AS roles, trim(split_part(made[-1], '|', 1)) AS real_author FROM w LEFT JOIN r USING (page_id)"""
+)
+def ext1_page_facts(s, d):
+    facts = extract.page_facts(F.col("url"), F.concat("html", F.lit(" "), F.expr(_CATEGORY_SQL)))
+    return table(s, d, "pages").select("page_id", facts.alias("f")).select("page_id", "f.entity_type", F.concat_ws(",", "f.roles").alias("roles"), "f.real_author")
+
+
+@query()
+def txt2_page_quotes(s, d):
+    """Every line of a document as a list item of a page."""
+    lines = F.concat(F.lit("* "), F.replace("text", F.lit("\n"), F.lit("\n* ")))
+    return pages.page_quotes(quotes(s, d).select(F.col("quote_id").alias("title"), lines.alias("text"))).select("title", "quote", "entity_type")
+
+
+# more cleaning
+@query()
+def txt4_entities(s, d):
+    return dirtied(s, d).select("quote_id", text.decode_entities(F.col("text")).alias("plain"))
+
+
+@query()
+def txt7_nfkc(s, d):
+    return quotes(s, d).select("quote_id", text.nfkc(F.col("text")).alias("composed"))
+
+
+@query("SELECT doc_id AS quote_id, translate('«' || text || '» ‹x›', '«»‹›', chr(34) || chr(34) || chr(39) || chr(39)) AS plain FROM documents")
+def txt8_plain_marks(s, d):
+    return quotes(s, d).select("quote_id", text.plain_marks(F.concat(F.lit("«"), "text", F.lit("» ‹x›"))).alias("plain"))
+
+
+@query(r"SELECT doc_id AS quote_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\x{a0}\-'']', '', 'g'), '\s+', ' ', 'g')) AS key FROM documents")
+def txt15_person_key(s, d):
+    return quotes(s, d).select("quote_id", text.person_key(F.col("text")).alias("key"))
+
+
+@query(r"SELECT doc_id AS quote_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\x{a0}]', '', 'g'), '\s+', ' ', 'g')) AS key FROM documents")
+def txt16_title_key(s, d):
+    return quotes(s, d).select("quote_id", text.title_key(F.col("text")).alias("key"))
+
+
+@query(r"SELECT doc_id AS quote_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS key FROM documents")
+def txt17_accent_key(s, d):
+    return quotes(s, d).select("quote_id", text.accent_key(F.col("text")).alias("key"))
+
+
+# more joins, aggregations, sets
+@query(f"SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM ({ORACLES['txt12_in_place_clean']})) GROUP BY rule")
+def agg4_rule_histogram(s, d):
+    return txt12_in_place_clean(s, d).select(F.explode(F.split("rules", ",")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS quote_id, count(*) AS n FROM documents GROUP BY ALL")
+def agg7_first_seen(s, d):
+    return quotes(s, d).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("quote_id").alias("quote_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(100.0 * (count(*) - count(DISTINCT text)) / greatest(1, count(*)), 6)::DOUBLE AS reduction, round(100.0 * count(*) FILTER (lang IN ('en', 'fr')) / greatest(1, count(*)), 6)::DOUBLE AS linked FROM documents")
+def agg11_percentages(s, d):
+    q = quotes(s, d).groupBy(F.sha2("text", 256).alias("h")).agg(F.count("text").alias("n"), F.count_if(F.col("lang").isin("en", "fr")).alias("linked"))
+    total = F.greatest(F.lit(1), F.sum("n"))
+    return q.agg(F.round(100 * (F.sum("n") - F.count("h")) / total, 6).alias("reduction"), F.round(100 * F.sum("linked") / total, 6).alias("linked"))
+
+
+@query("SELECT conv_id, turn, round_even(length(text) / max(length(text)) OVER (PARTITION BY conv_id) * 100, 0)::INT AS percent FROM conversations WHERE text <> ''")
+def agg12_relative_percent(s, d):
+    c = table(s, d, "conversations").filter("text <> ''").withColumn("n", F.length("text"))
+    top = F.max("n").over(dedup.Window.partitionBy("conv_id"))
+    return c.withColumn("top", top).select("conv_id", "turn", score.relative_percent(F.col("n"), F.col("top")).alias("percent"))
+
+
+@query(f"WITH {GRAPH} SELECT quote_id, count(*) AS edges, count(DISTINCT name) AS names FROM (SELECT quote_id, person AS name FROM said UNION ALL SELECT quote_id, work FROM has_work UNION ALL SELECT quote_id, source FROM has_source) GROUP BY quote_id")
+def jn11_all_edges(s, d):
+    edges = [e(s, d).select("quote_id", F.col(n).alias("name")) for e, n in ((said, "person"), (has_work, "work"), (has_source, "source"))]
+    return edges[0].unionByName(edges[1]).unionByName(edges[2]).groupBy("quote_id").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("name").alias("names"))
+
+
+@query("SELECT doc_id AS quote_id FROM documents WHERE text[1:100] NOT IN (SELECT text[1:100] FROM documents WHERE doc_id % 7 = 0)")
+def set3_not_shown(s, d):
+    """Quotes whose first 100 characters weren't shown; every seventh was."""
+    q = quotes(s, d).withColumn("_mark", F.substring("text", 1, 100))
+    return q.join(q.filter("quote_id % 7 = 0").select("_mark"), "_mark", "left_anti").select("quote_id")
+
+
+@query("SELECT doc_id AS quote_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) <= 500")
+def win2_first_of_block(s, d):
+    return graph.first_of_block(table(s, d, "documents").select(F.col("doc_id").alias("quote_id"), "n_chars"), "n_chars", "quote_id")
+
+
+@query("SELECT a.page_id, round(1 - levenshtein(a.url, b.url) / greatest(length(a.url), length(b.url)), 6) AS similarity FROM pages a JOIN pages b ON b.page_id = a.page_id + 1")
+def sim2_edit_similarity(s, d):
+    p = table(s, d, "pages").select("page_id", "url")
+    pairs = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id")
+    return pairs.select("page_id", F.round(dedup.edit_similarity(F.col("url"), F.col("other")), 6).alias("similarity"))
+
+
+# more retrieval
+_TERMS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents"
+
+
+@query()
+def ret2_fuzzy_terms(s, d):
+    """No SQL: edits count characters here, and bytes in the other engine."""
+    asked = _asked(s, d).select("query_id", F.explode(search.terms(F.col("query"))).alias("term")).distinct()
+    return search.fuzzy_terms(search.postings(quotes(s, d)), asked).distinct()
+
+
+@query(rf"WITH v AS ({_TERMS}), q AS (SELECT item_id, regexp_extract_all(lower(left(text, length(text) - 2)), '[\p{{L}}\p{{N}}]+') AS t FROM benchmark) SELECT item_id AS query_id, term FROM (SELECT item_id, unnest(t[1:len(t) - 1]) AS term FROM q) UNION SELECT item_id, term FROM q JOIN v ON starts_with(term, t[-1])")
+def ret3_prefix_terms(s, d):
+    asked = _asked(s, d).withColumn("query", F.expr("left(query, length(query) - 2)"))
+    return search.prefix_terms(search.postings(quotes(s, d)), asked).distinct()
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT person AS author, quote_id, quality_score AS score,
+ row_number() OVER (PARTITION BY person ORDER BY quality_score DESC, length(text), quote_id) AS position FROM scored JOIN said USING (quote_id)
+ WHERE quality_bucket IN ('high_quality', 'review') AND {_shown_sql()}) SELECT author, quote_id, score, position FROM r WHERE position <= 10""")
+def ret5_find_by_author(s, d):
+    asked = said(s, d).select(F.col("person").alias("query_id"), F.col("person").alias("name")).distinct()
+    return search.find_by_author(scored(s, d), said(s, d), has_work(s, d), asked).select("author", "quote_id", "score", "position")
+
+
+# more dialogue and speakers
+@query()
+def nlu4_requested_author(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", dialogue.requested_author(F.col("text")).alias("author"))
+
+
+@query(r"SELECT conv_id, turn, contains(a, b) OR contains(b, a) AS same FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS a, trim(regexp_replace(CASE turn % 2 WHEN 0 THEN '  ' || text ELSE text || '!' || role END, '\s+', ' ', 'g')) AS b FROM conversations)")
+def nlu8_audio_matches(s, d):
+    spoken = F.expr("CASE turn % 2 WHEN 0 THEN concat('  ', text) ELSE concat(text, '!', role) END")
+    return table(s, d, "conversations").select("conv_id", "turn", dialogue.audio_matches(F.col("text"), spoken).alias("same"))
+
+
+@query("SELECT vec_id AS speaker, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS name, 1 + (vec_id % 3 = 0)::INT AS sample_count FROM embeddings")
+def spk1_update_profiles(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("speaker"), F.lit("old").alias("name"), "embedding", F.lit(1).alias("sample_count"))
+    news = e.filter("speaker % 3 = 0").withColumn("name", F.lit("new"))
+    return vectors.update_profiles(e, news).select("speaker", "name", "sample_count")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from quotegraph.functions import dialogue, extract, score, text
 from quotegraph.operators import dedup, graph, search, vectors
 from quotegraph.operators.components import connected_components
+from quotegraph.sources import pages
 
 
 def one(spark, expression, value):
@@ -115,3 +116,34 @@ def test_entry_runs_without_the_optional_subpackage():
     import __spark_entry__ as e
 
     assert "scr2_score_buckets" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_page_dump(spark, tmp_path):
+    page = "<page><title>{}</title><ns>{}</ns>{}</page>"
+    body = "<revision><text>{}</text></revision>"
+    kept = "* A first quote that is long enough.\n* short\n[[Category:American poets]]\n[[Category:1900 births]]"
+    rows = [page.format("Ann", 0, body.format(kept)), page.format("Talk", 1, body.format(kept)), page.format("Bare", 0, ""), page.format("Empty", 0, body.format("")), "<page><ns>0</ns>" + body.format(kept) + "</page>"]
+    (tmp_path / "dump.xml").write_text('<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">' + "\n".join(rows) + "</mediawiki>")
+    found = pages.read_pages(spark, str(tmp_path / "dump.xml"))
+    assert [tuple(r) for r in found.collect()] == [("Ann", kept)]
+    quotes = pages.page_quotes(found)
+    r = quotes.first()
+    assert quotes.count() == 1 and r["quote"] == "A first quote that is long enough." and r["entity_type"] == "Person" and r["roles"]
+    assert pages.quotes_of("Person", quotes).count() == 1 and pages.quotes_of("Work", quotes).count() == 0
+
+
+def test_fuzzy_terms_match_brute_force(spark):
+    words = ["aiç", "al", "all", "quote", "quotes", "qoute", "x", "ïx", "long", "along", "belong", "naïve", "naive"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    index = spark.createDataFrame([(w, 1) for w in words], "term string, quote_id long")
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "query_id long, term string")
+    found = {tuple(r) for r in search.fuzzy_terms(index, asked).distinct().collect()}
+    assert found == {(i, b) for i, a in enumerate(words) for b in words if edits(a, b) <= 2}
