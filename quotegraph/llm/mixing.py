@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quotegraph.plans.shared import forget, materialize
 
-ONE, BLOCK_ROWS, FAN_BITS = 1 << 30, 64, 6
+ONE, BLOCK_ROWS, FAN_BITS, DUEL = 1 << 30, 64, 6, 77
 #: Rows of the table of sources that may be broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -62,7 +62,8 @@ def _fold(items: Column) -> Column:
         low = total < ONE
         # under ONE, the chance that the one that is held goes on; over it, the chance that it is full
         chance = F.when(low, F.when(total == 0, F.lit(0.0)).otherwise(a / total)).otherwise(F.when(total == 2 * ONE, F.lit(0.0)).otherwise((ONE - b) / (2 * ONE - total)))
-        first = F.shiftrightunsigned(x["draw"], 11) / F.lit(float(1 << 53)) < chance
+        # hashed anew: items are sorted by their draws, which as they stand would rise along the fold
+        first = F.shiftrightunsigned(F.xxhash64(F.lit(DUEL), x["draw"]), 11) / F.lit(float(1 << 53)) < chance
         settled = F.when(low, F.lit(0)).otherwise(F.lit(ONE)).cast("long")
         left = F.when(low, total).otherwise(total - ONE)
         # under ONE the survivor takes all; over it the one that stops is full and the other keeps the rest
@@ -88,8 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     The size is the number of words; a null text has none. Documents without words get no copies,
     as do all when the table has no words. Null sources are one source. Repeated rows are rounded
-    one by one. An empty table gives an empty result. No document appears more than
-    ceil(``most``) times.
+    one by one. Rows without an id draw by their place in the table, so they too spread over blocks.
+    An empty table gives an empty result. No document appears more than ceil(``most``) times.
     """
     row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id().alias("_row")
     slim = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size"), row), "mix-sizes")
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     octave = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(F.lit(-1)).cast("int")
     mixed = slim.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     mixed = mixed.withColumn("_whole", F.floor(rate).cast("long")).withColumn("mass", F.when(F.col("size") > 0, F.round((rate - F.floor(rate)) * ONE).cast("long")).otherwise(F.lit(0).cast("long")))
-    mixed = mixed.withColumn("_octave", octave).withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")))
+    mixed = mixed.withColumn("_octave", octave).withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.when(F.col("doc_id").isNull(), F.col("_row"))))
     halvings = f"CAST(greatest(0, ceil(log2(greatest(_rows, 1) / {float(BLOCK_ROWS)})) - 2) AS INT)"
     mixed = mixed.withColumn("_block", F.xxhash64(F.lit(seed + 1), "draw").bitwiseAND(F.expr(f"shiftleft(1L, {halvings}) - 1"))).drop("_rows")
 
