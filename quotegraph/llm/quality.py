@@ -201,9 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, fold: int = 0, mos
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [shared.value.pool(t) for t in b["text"]]})
 
-    # at most ``most`` ids are broadcast; a row's id may repeat, its first by hash of the text counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
-    got = rows.mapInPandas(pool, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # at most ``most`` ids are broadcast; an id may repeat, and its least text counts, so at most ``most`` rows come back
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = rows.mapInPandas(pool, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id")
     x = np.stack(got["x"].to_list()).astype(np.float64) if len(got) else np.zeros((0, 2 * DIM))
     return vectors, Network(x, got["y"].to_numpy(np.float64))
 

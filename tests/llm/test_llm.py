@@ -221,6 +221,19 @@ def test_rounding_keeps_expectations(spark):
     assert total == 12 * 4
 
 
+def test_duels_keep_the_expectation_of_each_size(spark):
+    items = spark.range(6000).select(F.col("id").alias("g"), F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(i).alias("i")) for i, n in enumerate((1, 1, 1, 2, 2, 3, 3, 3))])).alias("x"))
+    rows = items.select("g", "x.i", "x.size", F.xxhash64("g", "x.i").alias("draw"), F.lit(int(0.3 * mixing.ONE)).cast("long").alias("mass"))
+    mean = mixing._level(rows, ["g"], ["i"]).groupBy("size").agg((F.avg("mass") / mixing.ONE).alias("m")).collect()
+    assert len(mean) == 3 and all(abs(r["m"] - 0.3) < 0.015 for r in mean)
+
+
+def test_rows_without_ids_spread_over_blocks(spark):
+    rows = [(None, "w w w", "en", "a") for _ in range(3000)] + [(i, "w w", "en", "b") for i in range(40)]
+    got = [r for r in mixing.mix(documents(spark, rows)).collect() if r["source"] == "a"]
+    assert len(got) == 3000 and abs(sum(r["copies"] * r["size"] for r in got) - got[0]["target"]) <= 9
+
+
 # 7 sharding
 def test_shards_match_the_mixture(spark):
     rng = random.Random(8)
@@ -289,6 +302,13 @@ def test_quality_is_learnt(spark):
     assert got[9000]["score"] == got[9001]["score"]
 
 
+def test_quality_of_repeated_ids_ignores_row_order(spark):
+    rows = [(i % 30, f"ship w{i % 7}" if i % 2 else f"HOUSE ## {i % 5}") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    a, b = ({(r["doc_id"], round(r["score"], 9)) for r in quality.held_out_quality(documents(spark, x), labels).collect()} for x in (rows, rows[::-1]))
+    assert a == b
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.held_out_quality(documents(spark, [(1, "a"), (2, None)]), labels).collect()} == {0.5}
