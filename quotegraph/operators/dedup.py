@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegraph.functions.text import S, dedup_form, layered_form
+from quotegraph.functions.score import sequence_ratio
+from quotegraph.functions.text import S, dedup_form, layered_form, strip
 from quotegraph.operators.components import connected_components
 from quotegraph.operators.graph import checked_broadcast, first_of_block
 from quotegraph.plans.shared import materialize
@@ -56,13 +57,26 @@ def two_of_three(similar: Column, rare: Column, edit: Column) -> Column:
 
 
 def shingles(form: Column, k: int = 3) -> Column:
-    """Distinct runs of ``k`` characters; a shorter text is one."""
-    return F.when(F.length(form) < k, F.array(form)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(form) - (k - 1), F.lit(1))), lambda i: form.substr(i, F.lit(k)))))
+    """Distinct runs of ``k`` characters; a shorter text is one.
+
+    Runs are sliced from the array of characters: taking each from the text would walk it anew.
+    """
+    letters = F.split(form, "")
+    runs = letters
+    for j in range(1, k):  # the arrays are arguments, so each is made once, not anew for each element
+        runs = F.zip_with(runs, F.slice(letters, F.lit(j + 1), F.greatest(F.length(form) - j, F.lit(0))), lambda a, b: F.concat(a, b))
+    whole = F.slice(runs, F.lit(1), F.greatest(F.length(form) - (k - 1), F.lit(0)))
+    return F.when(F.length(form) < k, F.array(form)).otherwise(F.array_distinct(whole))
 
 
-def minhash(sets: Column, permutations: int = 128) -> Column:
-    """The least seeded hash of a set under each permutation."""
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(sets, lambda x: F.xxhash64(p, x))))
+def minhash_signatures(forms: DataFrame, permutations: int = 128, k: int = 3) -> DataFrame:
+    """``(quote_id, signature)`` of ``forms`` (quote_id, form): the least seeded hash of a text's shingles under each permutation.
+
+    Shingles are exploded and aggregated, which stays in generated code and combines within tasks.
+    """
+    parts = forms.select("quote_id", F.explode(shingles(F.col("form"), k)).alias("_s"))
+    least = parts.groupBy("quote_id").agg(*[F.min(F.xxhash64(F.lit(p), "_s")).alias(f"_p{p}") for p in range(permutations)])
+    return least.select("quote_id", F.array(*[f"_p{p}" for p in range(permutations)]).alias("signature"))
 
 
 def exact_form_groups(quotes: DataFrame) -> DataFrame:
@@ -210,3 +224,35 @@ def layered_near(quotes: DataFrame, threshold: float = 0.82, compose: bool = Tru
     parts = connected_components(hits, "a", "b")
     longest = Window.partitionBy("component").orderBy(F.desc(F.length("text")), "quote_id")
     return quotes.join(parts, quotes["quote_id"] == parts["node"]).select("quote_id", F.first("quote_id").over(longest).alias("keep_id"))
+
+
+def pair_signals(pairs: DataFrame, forms: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """``(a, b, similar, rare, edit, duplicate)`` for ``pairs`` (a, b): each signal of the vote, and its outcome.
+
+    ``forms`` has quote_id, form and rare (an array of rare words).
+    """
+    side = lambda c: forms.select(F.col("quote_id").alias(c), F.col("form").alias(f"form_{c}"), F.array_distinct(word_list(F.col("form"))).alias(f"words_{c}"), F.col("rare").alias(f"rare_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    similar = jaccard(F.col("words_a"), F.col("words_b")) >= threshold
+    rare = rare_overlap(F.col("rare_a"), F.col("rare_b")) >= threshold
+    edit = F.when(similar | rare, edit_at_least(F.col("form_a"), F.col("form_b"), threshold)).otherwise(False)  # tried only beside another
+    signals = both.select("a", "b", similar.alias("similar"), rare.alias("rare"), edit.alias("edit"))
+    return signals.withColumn("duplicate", two_of_three(F.col("similar"), F.col("rare"), F.col("edit")))
+
+
+def ingest_dedup(quotes: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Quotes without repeats and near repeats, as the quality filter keeps them: ``(quote_id, key)``.
+
+    The first of equal keys (lower case, stripped) stays; then one goes if an earlier one is similar
+    by sequence ratio. The defined order-dependent memory of the last thousand texts has no parallel
+    form, so candidates are the pairs of all quotes that share a block instead, whatever lies
+    between them; and a text goes too if the earlier one that it resembles went.
+    """
+    keys = quotes.select("quote_id", F.lower(strip(F.coalesce("text", F.lit("")))).alias("key"))
+    first = materialize(keys.groupBy("key").agg(F.min("quote_id").alias("quote_id")), "ingest-first")
+    blocks = first.select("quote_id", F.explode(blocking_keys(dedup_form(F.col("key")))).alias("key"))
+    side = lambda c: first.select(F.col("quote_id").alias(c), F.col("key").alias(f"key_{c}"))
+    pairs = block_pairs(blocks).join(side("a"), "a").join(side("b"), "b")
+    short, total = F.least(F.length("key_a"), F.length("key_b")), F.length("key_a") + F.length("key_b")
+    near = materialize(pairs.filter(2.0 * short >= threshold * total), "ingest-pairs").withColumn("_r", sequence_ratio(F.col("key_b"), F.col("key_a")))
+    return first.join(near.filter(F.col("_r") >= threshold).select(F.col("b").alias("quote_id")).distinct(), "quote_id", "left_anti").select("quote_id", "key")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,18 +35,22 @@ def speaker_similarity(a: Column, b: Column) -> Column:
     return F.coalesce((cosine(a, b) + 1) / 2, F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact ``(id, neighbour, similarity)``: the ``k`` nearest of each vector, itself among them.
+def _blocked(df: DataFrame, role: bool, own: int, other: int) -> DataFrame:
+    """``df`` (id, v) in its block, once for each block of the other side."""
+    block, turn = ("q", "d") if role else ("d", "q")
+    spread = df.withColumn(block, F.pmod(F.xxhash64("id"), F.lit(own))).withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+    return spread.select("q", "d", "id", "v", F.lit(role).alias("asks"))
+
 
-    Every vector asks all vectors, in blocks: the table is cut into blocks of bounded size, each pair
-    of blocks is one task's matrix product that returns only k rows a query, and a second step keeps
-    the best k of those.
+def nearest_among(asks: DataFrame, holds: DataFrame, k: int) -> DataFrame:
+    """Exact ``(id, neighbour, similarity, position)``: for each of ``asks`` (id, v) the ``k`` of ``holds`` (id, v) with the greatest dot products.
+
+    Both tables are cut into blocks of bounded size; each pair of blocks is one task's matrix
+    product that returns only k rows a query, and a second step keeps the best k of those. Ids are
+    longs; of equal products the least id goes first.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK_VECTORS))
-    flat = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    asks = flat.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").alias("q"), F.col("other").cast("long").alias("d"), "id", "v", F.lit(True).alias("asks"))
-    holds = flat.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").cast("long").alias("q"), F.col("block").alias("d"), "id", "v", F.lit(False).alias("asks"))
+    count = lambda df: max(1, -(-df.count() // BLOCK_VECTORS))
+    n_asks, n_holds = count(asks), count(holds)
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         q, d = cell[cell["asks"]], cell[~cell["asks"]]
@@ -64,11 +66,18 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "e
             out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), order.shape[1]), "neighbour": ids[order].ravel(), "similarity": np.take_along_axis(score, order, 1).ravel()}))
         return pd.concat(out)
 
-    near = asks.unionByName(holds).groupBy("q", "d").applyInPandas(best, "id long, neighbour long, similarity double")
+    cells = _blocked(asks, True, n_asks, n_holds).unionByName(_blocked(holds, False, n_holds, n_asks))
+    near = cells.groupBy("q", "d").applyInPandas(best, "id long, neighbour long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return near.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
+def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """:func:`nearest_among` all vectors for each of them, itself included."""
+    flat = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return nearest_among(flat, flat, k)
+
+
 def review_pairs(quotes: DataFrame, threshold: float = 0.94, k: int = 10, same_author: bool = True) -> DataFrame:
     """Candidate pairs of similar quotes for review: among each quote's ``k`` + 1 nearest, then by threshold and author.
 
@@ -90,31 +99,22 @@ def review_clusters(pairs: DataFrame) -> DataFrame:
     return parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", "component", "size")
 
 
+def _unit(df: DataFrame, id_col: str) -> DataFrame:
+    """``(id, v)`` with v of unit length; zero vectors are left out."""
+    flat = df.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("_n", norm(F.col("v"))).filter("_n > 0")
+    return flat.select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+
+
 def identify_speakers(probes: DataFrame, profiles: DataFrame, threshold: float = SPEAKER_THRESHOLD) -> DataFrame:
     """``(probe_id, speaker, similarity, identified)``: the likeliest profile of each probe.
 
-    ``profiles`` (speaker, embedding) are packed into one array row per task's batch: each probe
-    batch is scored against all profiles by a matrix product, block by block of profiles. Of equal
-    similarities the first speaker wins; nothing above 0 means no speaker.
+    Of equal similarities the first speaker wins; nothing above 0, as for a zero vector, means no
+    speaker and similarity 0. Speakers and probes have long ids.
     """
-    rows = profiles.select("speaker", F.col("embedding").cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("speaker"), F.lit(max(1, profiles.count() // BLOCK_VECTORS))))
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("speaker", "v"))).alias("members"))  # blocks of bounded size
-    scored = probes.select(F.col("probe_id"), F.col("embedding").cast("array<double>").alias("p")).join(packed.select("members"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for probe, p, members in zip(b["probe_id"], b["p"], b["members"]):
-                table = np.stack([m["v"] for m in members])
-                size = np.linalg.norm(table, axis=1) * np.linalg.norm(p)
-                score = np.where(size > 0, (table @ p / np.where(size > 0, size, 1) + 1) / 2, 0.0)
-                at = int(score.argmax())
-                out.append((probe, members[at]["speaker"], float(score[at])))
-            yield pd.DataFrame(out, columns=["probe_id", "speaker", "similarity"])
-
-    found = scored.mapInPandas(best, "probe_id long, speaker long, similarity double")
-    top = found.groupBy("probe_id").agg(F.max_by(F.struct("speaker", "similarity"), F.struct("similarity", -F.col("speaker"))).alias("b"))
-    return top.select("probe_id", F.when(F.col("b.similarity") > 0, F.col("b.speaker")).alias("speaker"), F.col("b.similarity").alias("similarity"), (F.col("b.similarity") >= threshold).alias("identified"))
+    found = nearest_among(_unit(probes, "probe_id"), _unit(profiles, "speaker"), 1).select("id", "neighbour", ((F.col("similarity") + 1) / 2).alias("_s"))
+    rows = probes.select("probe_id").join(found, F.col("probe_id") == F.col("id"), "left")
+    similarity = F.coalesce("_s", F.lit(0.0))
+    return rows.select("probe_id", F.when(similarity > 0, F.col("neighbour")).alias("speaker"), similarity.alias("similarity"), (similarity >= threshold).alias("identified"))
 
 
 def update_profiles(profiles: DataFrame, updates: DataFrame) -> DataFrame:
@@ -125,6 +125,13 @@ def update_profiles(profiles: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def voice_preferences(json: Column) -> Column:
-    """The stored preferences, each with its default."""
-    parsed = F.from_json(json, "voice_gender string, accent string, speed double, pitch double, voice_name string")
-    return F.struct(F.coalesce(parsed["voice_gender"], F.lit("neutral")).alias("voice_gender"), F.coalesce(parsed["accent"], F.lit("american")).alias("accent"), F.coalesce(parsed["speed"], F.lit(1.0)).alias("speed"), F.coalesce(parsed["pitch"], F.lit(1.0)).alias("pitch"), parsed["voice_name"].alias("voice_name"))
+    """``struct(voice_name, speed, pitch)`` as stored, or the default where nothing is stored or it isn't JSON."""
+    kind = "struct<voice_name: string, speed: double, pitch: double>"
+    parsed = F.from_json(json, kind)
+    default = F.struct(F.lit("default").alias("voice_name"), F.lit(1.0).alias("speed"), F.lit(0.0).alias("pitch")).cast(kind)
+    return F.when((json != "") & F.get_json_object(json, "$").isNotNull(), parsed).otherwise(default)
+
+
+def store_preferences(voice_name: Column, speed: Column, pitch: Column) -> Column:
+    """Preferences as the JSON text that a profile stores."""
+    return F.to_json(F.struct(voice_name.alias("voice_name"), speed.alias("speed"), pitch.alias("pitch")))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quotegraph.functions import dialogue, extract, score, text
-from quotegraph.operators import dedup, graph, search, vectors
+from quotegraph.operators import dedup, graph, linking, search, sinks, vectors
 from quotegraph.operators.components import connected_components
 from quotegraph.sources import pages
 
@@ -147,3 +147,32 @@ def test_fuzzy_terms_match_brute_force(spark):
     asked = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "query_id long, term string")
     found = {tuple(r) for r in search.fuzzy_terms(index, asked).distinct().collect()}
     assert found == {(i, b) for i, a in enumerate(words) for b in words if edits(a, b) <= 2}
+
+
+def test_shingles_and_signatures_match_brute_force(spark):
+    rows = [(1, "abcabcd"), (2, "ab"), (3, ""), (4, "naïve 😀 x"), (5, "abcabcd")]
+    forms = spark.createDataFrame(rows, "quote_id long, form string")
+    got = {r[0]: set(r[1]) for r in forms.select("quote_id", dedup.shingles(F.col("form"))).collect()}
+    assert got == {i: {t[j : j + 3] for j in range(len(t) - 2)} or {t} for i, t in rows}
+    signed = {r[0]: r[1] for r in dedup.minhash_signatures(forms, 8).collect()}
+    assert len(signed) == 5 and all(len(x) == 8 for x in signed.values()) and signed[1] == signed[5] != signed[2]
+
+
+def test_works_are_linked(spark):
+    works = spark.createDataFrame([("a quiet title", "A Quiet Title", 1)], "key string, name string, ord int")
+    rows = [(1, "as we read in a quiet title it is so"), (2, 'from the book "A Quiet Title"'), (3, 'from the poem "Some New One"'), (4, 'in the book "Single"'), (5, None)]
+    got = {r["quote_id"]: (r["work"], r["match_type"], r["is_reused"]) for r in linking.link_works(spark.createDataFrame(rows, "quote_id long, text string"), works).collect()}
+    assert got == {1: ("A Quiet Title", "existing_work", True), 2: ("A Quiet Title", "explicit_quotes_reused", True), 3: ("Some New One", "explicit_quotes_new", False)}
+
+
+def test_reports_come_back_from_csv(spark, tmp_path):
+    pairs = spark.createDataFrame([(0.9, "x", 1, "a", 'say "hi",\n there ', 2, None, "t", 3, 4)], "similarity double, recommendation string, id_a long, author_a string, text_a string, id_b long, author_b string, text_b string, len_a int, len_b int")
+    sinks.write_review_queue(pairs, str(tmp_path / "q"))
+    back = sinks.read_csv(spark, str(tmp_path / "q"), "similarity double, recommendation string, id_a long, author_a string, text_a string")
+    assert [tuple(r) for r in back.collect()] == [(0.9, "x", 1, "a", 'say "hi",\n there ')]
+
+
+def test_voice_preferences(spark):
+    rows = spark.createDataFrame([(1, '{"voice_name": "v", "speed": 1.5}'), (2, None), (3, "")], "i long, j string")
+    got = {r[0]: tuple(r[1]) for r in rows.select("i", vectors.voice_preferences(F.col("j"))).collect()}
+    assert got == {1: ("v", 1.5, None), 2: ("default", 1.0, 0.0), 3: ("default", 1.0, 0.0)}
