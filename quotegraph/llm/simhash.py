@@ -24,16 +24,20 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotegraph.llm.exact import _located
 from quotegraph.operators.components import connected_components
-from quotegraph.plans.shared import materialize
+from quotegraph.operators.graph import checked_broadcast
+from quotegraph.plans.shared import forget, materialize
 
 RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 3
 #: Points that a shard should index; points that fit the trees at most; rows of a grid chunk.
 SHARD_POINTS, SAMPLE_POINTS, INDEX_CHUNK, QUERY_CHUNK = 4096, 32768, 1 << 16, 1 << 18
 LEAF, MAX_DEPTH = 192, 12
+#: Near-dedup: words of a shingle, least Jaccard similarity; shingles that come last in the order of prefixes, and from how many rows on.
+NEAR_SHINGLE, NEAR_SIMILARITY, COMMON_SHINGLES, COMMON_SEEN = 5, 0.8, 100_000, 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -268,15 +272,115 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Keeps one row of each near-duplicate group, that with the least doc_id, with all its columns.
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and locator of each row of located ``docs``, its distinct shingle hashes, and a hash of these."""
 
-    Of rows that repeat an id, one stays. Rows without an id can't be named by it and all stay.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
+            out = b[["doc_id", "_file", "_row"]].copy()
+            out["set"] = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+            out["hashes"] = [h.view(np.int64) for h in found]
+            yield out
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "_file", "_row", "text").mapInPandas(run, f"doc_id {kind}, _file string, _row long, set long, hashes array<long>")
+
+
+def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and about how often each occurs. They only set an order, so a bound loses no pair."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h, n = np.unique(np.concatenate([*b["hashes"], np.empty(0, np.int64)]).astype(np.int64), return_counts=True)
+            yield pd.DataFrame({"h": h[n > 1], "n": n[n > 1].astype(np.int64)})
+
+    seen = sets.select("hashes").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_SEEN)
+    rows = seen.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toPandas().sort_values("h")
+    return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(h, set, n, i)``: the first shingles of each set of ``n``, with their places, so many that sets of this Jaccard similarity share one."""
+    common = sets.sparkSession.sparkContext.broadcast(_common_shingles(sets))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, often = common.value
+        for b in batches:
+            rows = []
+            for name, h in zip(b["set"], b["hashes"]):
+                if not (n := len(h)):
+                    continue
+                weight = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    weight = np.where(known[at] == h, often[at], 0)
+                first = h[np.lexsort((h, weight))[: n - ceil(similarity * n - 1e-9) + 1]]
+                rows.append((first, np.full(len(first), name, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
+            if rows:
+                yield pd.DataFrame(dict(zip(("h", "set", "n", "i"), map(np.concatenate, zip(*rows)))))
+
+    return sets.select("set", "hashes").mapInPandas(run, "h long, set long, n int, i int")
+
+
+def _similar(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (src, dst) of sets (set, hashes) whose exact Jaccard similarity reaches the bound."""
+    pairs = materialize(pairs, "near-pairs")
+    both = pairs.join(own.toDF("src", "_a"), "src").join(own.toDF("dst", "_b"), "dst")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return materialize(both.filter(shared / (F.size("_a") + F.size("_b") - shared) >= similarity).select("src", "dst"), "near-similar")
+
+
+def shingle_links(sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """``(src, dst)`` links that span the components of the graph of all sets (set, hashes) within ``similarity``.
+
+    Prefix filtering finds every pair: in any one order of all shingles, two sets of Jaccard
+    similarity s share a shingle among the first n - ceil(s n) + 1 of each. Common shingles come
+    last in the order, so a common line makes no block. The first member of a block is compared
+    with the others; then those pairs of a block that aren't yet in one component. Sizes and places
+    of shared shingles bound what a pair can share, and pairs that can't reach it aren't compared.
+
+    The table behind ``sets`` is deleted on the way.
+    """
+    keyed = materialize(_prefixes(sets, similarity), "near-prefixes")
+    lead = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("set", "n", "i")).alias("lead")).filter("_many > 1").drop("_many"), "near-leads")
+    blocks = materialize(keyed.join(lead, "h").distinct(), "near-blocks")
+    forget(keyed)
+    asked = checked_broadcast(blocks.select("set").distinct())
+    own = materialize(sets.select("set", "hashes").join(asked, "set", "left_semi").dropDuplicates(["set"]), "near-asked")
+    forget(sets)
+    needed = lambda n, m: (n + m) * (similarity / (1 + similarity)) - 1e-6  # shared shingles of a similar pair, at least
+    n, m, i, j = F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i")
+    first = blocks.filter("set <> lead.set").filter((F.least(n, m) >= needed(n, m)) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= needed(n, m)))
+    star = _similar(first.select(F.col("lead.set").alias("src"), F.col("set").alias("dst")).distinct(), own, similarity)
+    parts = materialize(connected_components(star), "near-parts")
+    placed = materialize(blocks.join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", "i", F.coalesce("component", "set").alias("part")), "near-placed")
+    split = placed.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low <> _high").select("h")
+    open_ = materialize(placed.join(split, "h", "left_semi"), "near-open")
+    a, b = open_.toDF("h", "src", "n", "i", "_p"), open_.toDF("h", "dst", "m", "j", "_q")
+    met = a.join(b, "h").filter("src < dst AND _p <> _q").filter(F.least("n", "m") >= needed(F.col("n"), F.col("m")))
+    met = met.groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    rest = met.filter(F.col("c") + F.least(F.expr("n - i - 1"), F.expr("m - j - 1")) >= needed(F.col("n"), F.col("m"))).select("src", "dst")
+    return star.unionByName(_similar(rest, own, similarity))
+
+
+def near_dedup(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """Keeps one row of each group of near copies, with all its columns.
+
+    Rows link if the sets of their word shingles have this Jaccard similarity or more, which is
+    compared exactly; texts without words are equal. Fingerprints only guide :func:`simhash_groups`:
+    at 0.8 they differ in some 10 of 64 bits, where no tree prunes. Of a group the row with the
+    least (doc_id, locator) stays, an id before null, so rows that repeat an id or have none count
+    by their texts.
     """
-    keep = simhash_groups(docs, radius).groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_keep"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    docs = _located(docs)
+    sets = materialize(_shingle_sets(docs, shingle), "near-sets")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))
+    least = materialize(sets.groupBy("set").agg(F.min(place).alias("keeper")), "near-least")
+    found = materialize(connected_components(shingle_links(sets, similarity)), "near-components")
+    keep = least.join(found, least["set"] == found["node"], "left").groupBy(F.coalesce("component", "set").alias("root")).agg(F.min("keeper").alias("keeper"))
+    keep = materialize(keep.select(F.col("keeper.file").alias("_f"), F.col("keeper.row").alias("_r")), "near-keep")
+    return docs.join(keep, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi").drop("_file", "_row")
 
 
 def hex16(fp):

@@ -83,6 +83,40 @@ def test_simhash_groups_of_odd_rows(spark):
     assert simhash.simhash_groups(documents(spark, [])).count() == 0
 
 
+def test_near_copies_go_and_others_stay(spark):
+    """Copies at five-word Jaccard 0.8 to 0.95 beside texts below it, held against all pairs."""
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.randrange(100_000))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (1, 2, 4, 6, 9):  # each edited word touches five shingles
+            other = list(words)
+            for at in rng.sample(range(2, 298), edits):
+                other[at] = word()
+            rows.append((len(rows), " ".join(other)))
+    line = " ".join(word() for _ in range(40))  # a common passage alone makes no copies
+    rows += [(1000 + i, line + " " + " ".join(word() for _ in range(40))) for i in range(50)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i in sets:
+        for j in range(i + 1, i - i % 6 + 6) if i < 1000 else ():
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                near += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    kept = {r["doc_id"] for r in simhash.near_dedup(documents(spark, rows)).collect()}
+    assert near > 300 and kept == {find(i) for i in sets}
+
+
 # 2 exact dedup
 @pytest.mark.parametrize("digest", [exact.sha256, lambda c: F.crc32(c) % 3])
 def test_exact_groups(spark, digest):
