@@ -297,7 +297,7 @@ def scr6_recommendation(s, d):
 
 @query()
 def ret8_fuzzy_reranked(s, d):
-    asked = materialize(_asked(s, d).withColumn("query", F.expr("substring(query, 1, 24)")), "fuzzy-asked")
+    asked = materialize(_asked(s, d), "fuzzy-asked")
     found = search.search(scored(s, d), said(s, d), has_work(s, d), asked, mode="fuzzy")
     return search.rerank(asked, found).select("query_id", "rank", "quote", "author", F.round("final_score", 4).alias("final_score"))
 

@@ -176,3 +176,21 @@ def test_voice_preferences(spark):
     rows = spark.createDataFrame([(1, '{"voice_name": "v", "speed": 1.5}'), (2, None), (3, "")], "i long, j string")
     got = {r[0]: tuple(r[1]) for r in rows.select("i", vectors.voice_preferences(F.col("j"))).collect()}
     assert got == {1: ("v", 1.5, None), 2: ("default", 1.0, 0.0), 3: ("default", 1.0, 0.0)}
+
+
+def graph_tables(spark, folder, texts, asked=()):
+    """The tables that the graph queries read: documents with these texts, benchmark with these queries."""
+    rows = [(i, t, "en", f"Ann {i}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_fuzzy_rerank_asks_whole_texts(spark, tmp_path):
+    from quotegraph.rule_queries import QUERIES
+
+    wanted = "Imagination is more important than knowledge in all of the wide world."
+    d = graph_tables(spark, tmp_path, [wanted, "Completely other prose stands here, long enough to be shown."], ["zzzzzzzz yyyyyyyy xxxxxxxx imaginatoin knowlegde"])
+    found = QUERIES["ret8_fuzzy_reranked"](spark, d).collect()
+    assert [(r["query_id"], r["rank"], r["quote"]) for r in found] == [(0, 1, wanted)]
