@@ -141,6 +141,14 @@ def ext6_linked_works(s, d):
     return linking.link_works(base, s.createDataFrame(_WORKS, "key string, name string, ord int")).select("quote_id", "work", "match_type")
 
 
+@query()
+def ext6_linked_works_whole(s, d):
+    """The same over all documents: titles stand behind whole texts, and one is named without quote marks. No SQL: texts have titles of their own."""
+    suffix = F.expr("CASE quote_id % 16 WHEN 3 THEN ' from the book \"A Quiet Title\"' WHEN 7 THEN ' in the book \"Single\"' WHEN 11 THEN ' from the poem \"Another Known One\"' WHEN 15 THEN ' as we read in a quiet title it is so' ELSE '' END")
+    base = quotes(s, d).select("quote_id", F.concat(F.coalesce("text", F.lit("")), suffix).alias("text"))
+    return linking.link_works(base, s.createDataFrame(_WORKS, "key string, name string, ord int")).select("quote_id", "work", "match_type")
+
+
 @query(r"""SELECT title, CASE WHEN length(title) < 4 THEN 'too short' WHEN length(title) > 60 THEN 'too long' WHEN contains(lower(title), '.com') THEN 'url' WHEN len(regexp_extract_all(title, '\d')) >= 8 THEN 'digits'
  WHEN lower(title) IN ('volume', 'unknown') THEN 'blacklisted' WHEN lower(title) LIKE 'chapter %' THEN 'blacklisted prefix' WHEN NOT regexp_matches(title, '\p{Lu}') THEN 'no capital' END AS reason
  FROM (SELECT DISTINCT CASE doc_id % 6 WHEN 0 THEN 'Chapter ' || doc_id WHEN 1 THEN 'no capitals ' || source WHEN 2 THEN 'Volume' WHEN 3 THEN 'A.com ' || source WHEN 4 THEN 'N 1234567' || doc_id ELSE 'The ' || source END AS title FROM documents)""")

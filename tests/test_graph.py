@@ -194,3 +194,17 @@ def test_fuzzy_rerank_asks_whole_texts(spark, tmp_path):
     d = graph_tables(spark, tmp_path, [wanted, "Completely other prose stands here, long enough to be shown."], ["zzzzzzzz yyyyyyyy xxxxxxxx imaginatoin knowlegde"])
     found = QUERIES["ret8_fuzzy_reranked"](spark, d).collect()
     assert [(r["query_id"], r["rank"], r["quote"]) for r in found] == [(0, 1, wanted)]
+
+
+def test_works_are_linked_in_whole_texts(spark, tmp_path):
+    from quotegraph.rule_queries import QUERIES
+
+    texts = [f"plain prose number {i} that names no work" for i in range(32)]
+    texts[1] = "word " * 20000 + 'from the book "Deep Waters"'
+    texts[2] = "what we found in a quiet title " + "word " * 20000
+    texts[3], texts[5], texts[19] = None, None, "word " * 20000
+    texts[27] = "as it stands in a quiet title, so it goes on"
+    got = {(r["quote_id"], r["work"], r["match_type"]) for r in QUERIES["ext6_linked_works_whole"](spark, graph_tables(spark, tmp_path, texts)).collect()}
+    known, new = ("A Quiet Title", "explicit_quotes_reused"), ("Another Known One", "explicit_quotes_new")
+    named = ("A Quiet Title", "existing_work")
+    assert got == {(1, "Deep Waters", "explicit_quotes_new"), (2, *named), (3, *known), (19, *known), (11, *new), (15, *named), (31, *named), (27, *named)}
