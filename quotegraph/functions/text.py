@@ -208,7 +208,7 @@ def fast_ingest_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words and punctuation marks, without a model."""
-    return F.regexp_extract_all(c, F.lit(rf"({W}+|[^\p{{L}}\p{{N}}_\s])"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(rf"({W}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x85])"), F.lit(1))
 
 
 def sentences(c: Column) -> Column:

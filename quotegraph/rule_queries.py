@@ -272,6 +272,12 @@ def txt20_tokens(s, d):
     return ascii_only.select("quote_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
+@query()
+def txt20_tokens_whole(s, d):
+    """Of every document; a null text has none. No SQL: character classes differ beyond ASCII."""
+    return quotes(s, d).select("quote_id", F.coalesce(F.size(text.tokens(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("tokens"))
+
+
 # scores and retrieval
 @query("SELECT doc_id AS quote_id, length(coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 AND text <> '' THEN text END, 'before ' || source, '')) AS n FROM documents")
 def scr3_scored_text(s, d):

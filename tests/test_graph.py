@@ -208,3 +208,22 @@ def test_works_are_linked_in_whole_texts(spark, tmp_path):
     known, new = ("A Quiet Title", "explicit_quotes_reused"), ("Another Known One", "explicit_quotes_new")
     named = ("A Quiet Title", "existing_work")
     assert got == {(1, "Deep Waters", "explicit_quotes_new"), (2, *named), (3, *known), (19, *known), (11, *new), (15, *named), (31, *named), (27, *named)}
+
+
+def test_tokens_of_every_document_match_brute_force(spark, tmp_path):
+    import unicodedata
+
+    from quotegraph.rule_queries import QUERIES
+
+    texts = ["plain, ascii text_1", "naïve café — «déjà»", "日本語。テスト", "a\u00a0b\u2003c\u3000d\u2028e", "Ⅷ ½ 😀!", "", None, "x\ny\t.z"]
+
+    def count(t):
+        n, inside = 0, False
+        for c in t or "":
+            word = c == "_" or unicodedata.category(c)[0] in "LN"
+            n += (word and not inside) or not (word or c.isspace())
+            inside = word
+        return n
+
+    got = {r["quote_id"]: r["tokens"] for r in QUERIES["txt20_tokens_whole"](spark, graph_tables(spark, tmp_path, texts)).collect()}
+    assert got == {i: count(t) for i, t in enumerate(texts)}
