@@ -363,7 +363,7 @@ def sim7_speaker_similarity(s, d):
 @query()
 def sim8_minhash_signatures(s, d):
     forms = quotes(s, d).select("quote_id", text.dedup_form(F.col("text")).alias("form"))
-    return dedup.minhash_signatures(forms, 16).select("quote_id", F.sha2(F.array_join(F.col("signature").cast("array<string>"), ","), 256).alias("signature"))
+    return dedup.minhash_signatures(forms).select("quote_id", F.sha2(F.array_join(F.col("signature").cast("array<string>"), ","), 256).alias("signature"))
 
 
 @query(f"WITH {KEYS}, s AS (SELECT quote_id, form, list_distinct(words) AS w FROM forms), j AS (SELECT a, b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS t, x.form AS fa, y.form AS fb FROM pairs JOIN s x ON x.quote_id = a JOIN s y ON y.quote_id = b) SELECT count(*) AS hits FROM j WHERE t > i AND i / (t - i) >= 0.75 AND i / (t - i) >= 0.9")

@@ -227,3 +227,15 @@ def test_tokens_of_every_document_match_brute_force(spark, tmp_path):
 
     got = {r["quote_id"]: r["tokens"] for r in QUERIES["txt20_tokens_whole"](spark, graph_tables(spark, tmp_path, texts)).collect()}
     assert got == {i: count(t) for i, t in enumerate(texts)}
+
+
+def test_registered_signatures_have_128_permutations(spark, tmp_path):
+    import hashlib
+
+    from quotegraph.rule_queries import QUERIES
+
+    texts = ["the first of some texts", "another text stands here"]
+    got = {r["quote_id"]: r["signature"] for r in QUERIES["sim8_minhash_signatures"](spark, graph_tables(spark, tmp_path, texts)).collect()}
+    forms = spark.createDataFrame(list(enumerate(texts)), "quote_id long, form string")
+    whole = {r[0]: r[1] for r in dedup.minhash_signatures(forms, 128).collect()}
+    assert got == {i: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for i, x in whole.items()}
