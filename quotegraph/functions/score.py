@@ -98,6 +98,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_reaches(threshold: float):
+    """A function of two texts: whether :func:`sequence_ratio` reaches ``threshold``; its upper bounds are tried first."""
+
+    @F.pandas_udf("boolean")
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = (difflib.SequenceMatcher(None, x or "", y or "") for x, y in zip(a, b))
+        return pd.Series([m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold for m in found], dtype="bool")
+
+    return reaches
+
+
 def match_rank(query: Column, quote: Column, score: Column) -> Column:
     """The alternative rank: search score, length ratio, common prefix and sequence ratio."""
     q, d = F.lower(query), F.lower(quote)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegraph.functions.score import sequence_ratio
+from quotegraph.functions.score import ratio_reaches
 from quotegraph.functions.text import S, dedup_form, layered_form, strip
 from quotegraph.operators.components import connected_components
 from quotegraph.operators.graph import checked_broadcast, first_of_block
@@ -240,19 +240,39 @@ def pair_signals(pairs: DataFrame, forms: DataFrame, threshold: float = 0.82) ->
     return signals.withColumn("duplicate", two_of_three(F.col("similar"), F.col("rare"), F.col("edit")))
 
 
+def ratio_candidates(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """``(a, b)``, a < b, of ``texts`` (quote_id, key): every pair whose sequence ratio can reach ``threshold``.
+
+    The ratio leaves (1 - threshold) (m + n) characters of both texts unmatched at most. Each breaks
+    one of the longer text's disjoint pieces, so with one piece more than that, a piece stands whole
+    in the other text, shifted by as many places at most. No piece is skipped, however common.
+    """
+    slack, reach = 2.0 * (1.0 - threshold), (2.0 - threshold) / threshold
+    most = lambda n: F.floor(n * slack + 1e-6).cast("int")
+    width = lambda n: F.floor(n / (most(n) + 1)).cast("int")
+    lean = texts.select("quote_id", "key", F.length("key").alias("n")).filter("n > 0")
+    own = lean.select("*", F.sequence(F.lit(1), (most(F.col("n")) * width(F.col("n")) + 1).cast("int"), width(F.col("n"))).alias("_at"), width(F.col("n")).alias("w"))
+    pieces = own.select("quote_id", "key", "n", "w", F.explode("_at").alias("at")).select("w", F.expr("xxhash64(substring(key, at, w))").alias("piece"), "at", "n", F.col("quote_id").alias("long"))
+    widths = F.array_distinct(F.transform(F.sequence(F.col("n"), F.floor(F.col("n") * reach + 1e-6).cast("int")), width))
+    asked = lean.select("quote_id", "key", "n", F.explode(widths).alias("w")).filter("w BETWEEN 1 AND n").select("quote_id", "key", "n", "w", F.explode(F.expr("sequence(1, n - w + 1)")).alias("spot"))
+    asked = asked.select("w", F.expr("xxhash64(substring(key, spot, w))").alias("piece"), "spot", F.col("n").alias("m"), F.col("quote_id").alias("short"))
+    pieces, asked = materialize(pieces, "ingest-pieces"), materialize(asked, "ingest-asked")
+    fits = (F.col("long") != F.col("short")) & (F.col("m") <= F.col("n")) & (2.0 * F.col("m") >= threshold * (F.col("m") + F.col("n")) - 1e-6) & (F.abs(F.col("at") - F.col("spot")) <= most(F.col("n")))
+    return pieces.join(asked, ["w", "piece"]).filter(fits).select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
+
+
 def ingest_dedup(quotes: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Quotes without repeats and near repeats, as the quality filter keeps them: ``(quote_id, key)``.
 
     The first of equal keys (lower case, stripped) stays; then one goes if an earlier one is similar
     by sequence ratio. The defined order-dependent memory of the last thousand texts has no parallel
-    form, so candidates are the pairs of all quotes that share a block instead, whatever lies
-    between them; and a text goes too if the earlier one that it resembles went.
+    form, so each is compared with all earlier ones that can be so similar, whatever lies between
+    them; and a text goes too if the earlier one that it resembles went.
     """
     keys = quotes.select("quote_id", F.lower(strip(F.coalesce("text", F.lit("")))).alias("key"))
     first = materialize(keys.groupBy("key").agg(F.min("quote_id").alias("quote_id")), "ingest-first")
-    blocks = first.select("quote_id", F.explode(blocking_keys(dedup_form(F.col("key")))).alias("key"))
     side = lambda c: first.select(F.col("quote_id").alias(c), F.col("key").alias(f"key_{c}"))
-    pairs = block_pairs(blocks).join(side("a"), "a").join(side("b"), "b")
-    short, total = F.least(F.length("key_a"), F.length("key_b")), F.length("key_a") + F.length("key_b")
-    near = materialize(pairs.filter(2.0 * short >= threshold * total), "ingest-pairs").withColumn("_r", sequence_ratio(F.col("key_b"), F.col("key_a")))
-    return first.join(near.filter(F.col("_r") >= threshold).select(F.col("b").alias("quote_id")).distinct(), "quote_id", "left_anti").select("quote_id", "key")
+    pairs = materialize(ratio_candidates(first, threshold), "ingest-candidates")
+    near = materialize(pairs.join(side("a"), "a").join(side("b"), "b"), "ingest-pairs")
+    hits = near.filter(ratio_reaches(threshold)(F.col("key_b"), F.col("key_a")))
+    return first.join(hits.select(F.col("b").alias("quote_id")).distinct(), "quote_id", "left_anti").select("quote_id", "key")

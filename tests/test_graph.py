@@ -239,3 +239,31 @@ def test_registered_signatures_have_128_permutations(spark, tmp_path):
     forms = spark.createDataFrame(list(enumerate(texts)), "quote_id long, form string")
     whole = {r[0]: r[1] for r in dedup.minhash_signatures(forms, 128).collect()}
     assert got == {i: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for i, x in whole.items()}
+
+
+def test_ingest_dedup_misses_no_pair(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    mixed = []
+    for _ in range(12):  # copies with 1 to 14 edited characters anywhere
+        base = " ".join(word() for _ in range(rng.choice((4, 12, 30)))).ljust(20, "q")
+        for edits in (0, 1, 2, 4, 7, 14):
+            letters = list(base)
+            for _ in range(edits):
+                letters[rng.randrange(len(letters))] = rng.choice(["", "x", "yz"])
+            mixed.append("".join(letters))
+    spread = "alpha " * 2 + " ".join(word() for _ in range(25)) + " unquestionably omega end here now"
+    mixed += [spread, spread.replace("alpha", "alpga", 1).replace("unquestionably", "unquestionebly").replace("now", "nov")]
+    rows = list(enumerate(dict.fromkeys(mixed)))
+    gone = {j for j, b in rows for i, a in rows if i < j and difflib.SequenceMatcher(None, b, a).ratio() >= 0.95}
+    got = {r["quote_id"] for r in dedup.ingest_dedup(spark.createDataFrame(rows, "quote_id long, text string")).collect()}
+    assert len(gone) > 20 and len(rows) - 1 in gone and got == {i for i, _ in rows} - gone
+
+    middles = [" ".join(word() for _ in range(8)) for _ in range(520)]  # one opening and one ending for all
+    texts = [f"it is said that whoever {m} shall never come back again" for m in middles]
+    hot = list(enumerate([*texts, texts[7].replace(middles[7], "z" + middles[7][1:])]))
+    got = {r["quote_id"] for r in dedup.ingest_dedup(spark.createDataFrame(hot, "quote_id long, text string")).collect()}
+    assert got == set(range(520))
