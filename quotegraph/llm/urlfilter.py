@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import exp, log
 
 import pandas as pd
@@ -18,14 +18,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegraph.plans.shared import materialize
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words known beforehand, and the number of urls that each stands for.
 BAD_WORDS = ("spam", "farm", "cheap", "pills", "casino", "viagra", "porn", "xxx", "bet", "loan", "loans", "malware", "phishing", "crack", "warez", "torrent", "adult")
 GOOD_WORDS = ("docs", "news", "blog", "wiki", "edu", "library", "science", "research", "university", "museum")
 SEED_URLS = 1000
-#: The unigram lexicon for segmentation: words seen MIN_COUNT times in all pages, the MAX_WORDS most frequent, so that it may be broadcast.
+#: The unigram lexicon for segmentation: words seen MIN_COUNT times in all pages. Up to MAX_WORDS are broadcast; beyond it names are joined to them.
 MIN_COUNT, MAX_WORDS, LONGEST = 3, 50_000, 20
-#: Distinct model words that may reach the driver and be broadcast.
+#: Distinct model words that may reach the driver and be broadcast; beyond it urls are joined to them.
 MODEL_WORDS = 200_000
 ALPHA = 0.5
 _TOKEN = regex.compile(r"[a-z]+")
@@ -64,15 +66,22 @@ def word_unigrams(pages: DataFrame) -> DataFrame:
     return pages.select("html").filter("html IS NOT NULL").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def marked_runs(host: str, path: str) -> list[tuple[str, str]]:
+    """Runs of letters or digits of host and path, each with the mark of where it stands."""
+    return [(mark, run) for mark, part in (("h:", host), ("p:", path)) for run in regex.findall(r"[a-z]+|[0-9]+", part.lower())]
+
+
 @dataclass
 class Segmenter:
     """Unigram Viterbi. A piece that isn't a known word costs more the longer it is."""
 
     counts: dict[str, int]
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: One more than all words' counts, if ``counts`` has only some words.
+    total: int | None = None
 
     def __post_init__(self):
-        self.total = sum(self.counts.values()) + 1
+        self.total = self.total or sum(self.counts.values()) + 1
         self.cost = {w: log(self.total) - log(n) for w, n in self.counts.items()}
 
     def split(self, name: str) -> tuple[str, ...]:
@@ -99,9 +108,8 @@ class Segmenter:
     def tokens(self, host: str, path: str) -> list[str]:
         """Words of host and path, marked by where they stand; digits are one mark."""
         out = []
-        for mark, part in (("h:", host), ("p:", path)):
-            for run in regex.findall(r"[a-z]+|[0-9]+", part.lower()):
-                out += [mark + "#"] if run[0].isdigit() else [mark + w for w in self.split(run)]
+        for mark, run in marked_runs(host, path):
+            out += [mark + "#"] if run[0].isdigit() else [mark + w for w in self.split(run)]
         return out
 
 
@@ -110,28 +118,88 @@ class UrlModel:
     """Naive Bayes weights: log odds of block against allow for each word, and to begin with."""
 
     odds: dict[str, float]
-    unseen: float
+    mass: dict[str, float]
     prior: float
 
+    def weigh(self, block: int, allow: int) -> float:
+        """The log odds of a word with these counts."""
+        return log((block + ALPHA) / self.mass["block"]) - log((allow + ALPHA) / self.mass["allow"])
+
     def block_chance(self, tokens: list[str]) -> float:
-        x = self.prior + sum(self.odds.get(t, self.unseen) for t in tokens)
+        unseen = log(self.mass["allow"] / self.mass["block"])
+        x = self.prior + sum(self.odds.get(t, unseen) for t in tokens)
         return 1 / (1 + exp(-max(-500.0, min(500.0, x))))
 
 
-def fit(counts: list[tuple[str, str, int]], urls: dict[str, int]) -> UrlModel:
-    """``counts`` has (verdict, word, n); ``urls`` the number of urls by verdict."""
+def fit(counts: list[tuple[str, str, int]], urls: dict[str, int], whole: tuple[int, int, int] | None = None) -> UrlModel:
+    """``counts`` has (verdict, word, n); ``urls`` the number of urls by verdict.
+
+    ``whole`` has the number of words and the sums of both counts, seeds included, if they are a table elsewhere.
+    """
     by = {"block": Counter(), "allow": Counter()}
     for verdict, word, n in counts:
         by[verdict][word] += n
-    for verdict, words in (("block", BAD_WORDS), ("allow", GOOD_WORDS)):
-        for w in words:
-            by[verdict]["h:" + w] += SEED_URLS
-            by[verdict]["p:" + w] += SEED_URLS
+    for verdict, seen in by.items():
+        for word, n in _seeded(verdict):
+            seen[word] += n
     vocabulary = by["block"].keys() | by["allow"].keys()
-    mass = {v: sum(c.values()) + ALPHA * (len(vocabulary) + 1) for v, c in by.items()}
-    weigh = lambda w: log((by["block"][w] + ALPHA) / mass["block"]) - log((by["allow"][w] + ALPHA) / mass["allow"])
-    prior = log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1))
-    return UrlModel({w: weigh(w) for w in sorted(vocabulary)}, log(mass["allow"] / mass["block"]), prior)
+    size, block, allow = whole or (len(vocabulary), by["block"].total(), by["allow"].total())
+    mass = {v: n + ALPHA * (size + 1) for v, n in (("block", block), ("allow", allow))}
+    model = UrlModel({}, mass, log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1)))
+    model.odds.update((w, model.weigh(by["block"][w], by["allow"][w])) for w in sorted(vocabulary))
+    return model
+
+
+def _seeded(by: str) -> list[tuple[str, int]]:
+    return [(mark + w, SEED_URLS) for w in (BAD_WORDS if by == "block" else GOOD_WORDS) for mark in ("h:", "p:")]
+
+
+def spread_words(urls: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
+    """``(host, path, words)`` of each distinct host and path, where the lexicon (word, n) is a table that need not fit a task."""
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, p, i, mark, run) for h, p in zip(b["host"], b["path"]) for i, (mark, run) in enumerate(marked_runs(h, p))]
+            yield pd.DataFrame(rows, columns=["host", "path", "i", "mark", "run"]).astype({"i": "int32"})
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for run in b["run"]:
+                words = list({run[at:end] for at in range(len(run)) for end in range(at + 1, min(at + LONGEST, len(run)) + 1)})
+                yield pd.DataFrame({"run": [run] * len(words), "word": words})
+
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            split = [Segmenter({} if own is None else {r["word"]: r["n"] for r in own}, total=total).split(run) for run, own in zip(b["run"], b["own"])]
+            yield pd.DataFrame({"run": b["run"], "parts": split})
+
+    pairs = materialize(urls.select("host", "path").distinct(), "url-pairs")
+    placed = materialize(pairs.mapInPandas(runs, "host string, path string, i int, mark string, run string"), "url-runs")
+    names = materialize(placed.select("run").filter(~F.col("run").rlike("^[0-9]")).distinct(), "url-names")
+    found = names.mapInPandas(stretches, "run string, word string").join(lexicon, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    parts = materialize(names.join(found, "run", "left").select("run", "own").mapInPandas(segment, "run string, parts array<string>"), "url-parts")
+    split = placed.join(parts, "run", "left").select("host", "path", "i", F.transform(F.coalesce("parts", F.array(F.lit("#"))), lambda w: F.concat("mark", w)).alias("words"))
+    whole = split.groupBy("host", "path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
+    return materialize(pairs.join(whole, ["host", "path"], "left").select("host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "url-words")
+
+
+def spread_scores(worded: DataFrame, counts: DataFrame, judged: dict[str, int]) -> DataFrame:
+    """``worded`` with block_chance, where the counts (verdict, word, n) of the model are a table that need not fit a task."""
+    seeds = counts.sparkSession.createDataFrame([(v, w, n) for v in ("block", "allow") for w, n in _seeded(v)], "verdict string, word string, n long")
+    of = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v)
+    table = materialize(counts.unionByName(seeds).groupBy("word").agg(of("block"), of("allow")), "url-odds")
+    size, block, allow = table.agg(F.count(F.lit(1)), F.sum("block"), F.sum("allow")).first()
+    model = fit([], judged, (size, block, allow))
+    asked = worded.select("host", "path", F.explode(F.array_distinct("words")).alias("word"))
+    own = asked.join(table, "word").groupBy("host", "path").agg(F.collect_list(F.struct("word", "block", "allow")).alias("own"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[["host", "path", "words"]].copy()
+            out["block_chance"] = [replace(model, odds={} if o is None else {r["word"]: model.weigh(r["block"], r["allow"]) for r in o}).block_chance(list(w)) for w, o in zip(b["words"], b["own"])]
+            yield out
+
+    return materialize(worded.join(own, ["host", "path"], "left").mapInPandas(score, "host string, path string, words array<string>, block_chance double"), "url-scores")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -142,27 +210,42 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     table gives an empty result. At 0.5 the verdict is allow.
     """
     spark = pages.sparkSession.sparkContext
+    seeds = pages.sparkSession.createDataFrame([(w, MIN_COUNT) for w in (*BAD_WORDS, *GOOD_WORDS)], "word string, n long")
     frequent = word_unigrams(pages).filter(F.col("n") >= MIN_COUNT).filter(F.length("word") <= LONGEST)
-    lexicon = {r[0]: r[1] for r in frequent.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
-    for w in (*BAD_WORDS, *GOOD_WORDS):
-        lexicon[w] = lexicon.get(w, 0) + MIN_COUNT
-    segmenter = spark.broadcast(Segmenter(lexicon))
+    lexicon = materialize(frequent.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "url-lexicon")
+    many, total = lexicon.agg(F.count(F.lit(1)), F.sum("n")).first()
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            for h, p, v in zip(b["host"], b["path"], b["rule_verdict"]):
-                seen[v, ""] += 1
-                seen.update((v, t) for t in segmenter.value.tokens(h, p))
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "word", "n"]).astype({"verdict": "object", "word": "object", "n": "int64"})
-
-    judged = urls.filter("rule_verdict IS NOT NULL").select("host", "path", "rule_verdict").mapInPandas(tally, "verdict string, word string, n long")
-    rows = judged.groupBy("verdict", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "verdict").limit(MODEL_WORDS).collect()
-    model = spark.broadcast(fit([tuple(r) for r in rows if r[1]], {r[0]: r[2] for r in rows if not r[1]}))
+    judged = urls.filter("rule_verdict IS NOT NULL").select("host", "path", F.col("rule_verdict").alias("verdict"))
+    by_verdict = dict(judged.groupBy("verdict").agg(F.count(F.lit(1))).collect())  # two rows
+    segmenter = worded = None
+    if many <= MAX_WORDS:
+        segmenter = spark.broadcast(Segmenter(dict(lexicon.collect())))
+
+        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: Counter = Counter()
+            for b in batches:
+                for h, p, v in zip(b["host"], b["path"], b["verdict"]):
+                    seen.update((v, t) for t in segmenter.value.tokens(h, p))
+                if len(seen) > 200_000:
+                    yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "word", "n"])
+                    seen.clear()
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "word", "n"]).astype({"verdict": "object", "word": "object", "n": "int64"})
+
+        tallied = judged.mapInPandas(tally, "verdict string, word string, n long")
+    else:
+        worded = spread_words(urls, lexicon, total + 1)
+        tallied = judged.groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("n")).join(worded, ["host", "path"]).select("verdict", F.explode("words").alias("word"), "n")
+    counts = materialize(tallied.groupBy("verdict", "word").agg(F.sum("n").alias("n")), "url-counts")
+    if worded is not None or counts.count() > MODEL_WORDS:
+        if worded is None:
+            worded = spread_words(urls, lexicon, total + 1)
+        scored = spread_scores(worded, counts, by_verdict)
+        own = F.when(F.col("block_chance") > 0.5, "block").otherwise("allow")
+        return urls.join(scored, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "block_chance", "words")
+    model = spark.broadcast(fit([tuple(r) for r in counts.collect()], by_verdict))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -297,6 +297,24 @@ def test_url_rules_and_model(spark):
     assert got[8]["verdict"] == "allow" and {"h:garden", "h:house"} <= set(got[8]["words"])
 
 
+@pytest.mark.parametrize("words, model", [(0, 200_000), (50_000, 0)])
+def test_url_words_beyond_the_broadcast_count(spark, monkeypatch, words, model):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7)))
+    known = [name() for _ in range(60)]
+    rows = []
+    for i in range(200):
+        host, path = "".join(rng.choices(known, k=3)), "".join(rng.choices(known, k=2))
+        rows.append((i, f"http://{host}.{rng.choice(['net', 'org', 'com', 'example.net'])}/{rng.choice(['en', 'de', 'fr', ''])}/{path}/{i}", "<p>" + " ".join(rng.choices(known, k=30))))
+    rows += [(500, None, None), (501, "no scheme", ""), (501, "http://", "x"), (502, "http://" + "ab" * 3000 + ".com/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    show = lambda: sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"], r["block_chance"], tuple(r["words"])) for r in urlfilter.judge(pages).collect())
+    whole = show()
+    monkeypatch.setattr(urlfilter, "MAX_WORDS", words)
+    monkeypatch.setattr(urlfilter, "MODEL_WORDS", model)
+    assert show() == whole
+
+
 def test_segmentation_is_the_likeliest():
     s = urlfilter.Segmenter({"the": 50, "them": 5, "me": 20, "at": 30, "eat": 3})
     assert s.split("themeat") == ("the", "me", "at")
