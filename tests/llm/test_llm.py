@@ -117,6 +117,14 @@ def test_near_copies_go_and_others_stay(spark):
     assert near > 300 and kept == {find(i) for i in sets}
 
 
+def test_near_dedup_goes_by_rows_not_ids(spark):
+    """Two texts under one id both stay; near copies without an id leave one."""
+    one, two, three = (" ".join(f"{mark}{i}" for i in range(100)) for mark in "abc")
+    rows = [(0, one + " x"), (1, one), (1, two), (None, three), (None, three + " y")]
+    kept = sorted((str(r["doc_id"]), r["text"][0]) for r in simhash.near_dedup(documents(spark, rows)).collect())
+    assert kept == [("0", "a"), ("1", "b"), ("None", "c")]
+
+
 # 2 exact dedup
 @pytest.mark.parametrize("digest", [exact.sha256, lambda c: F.crc32(c) % 3])
 def test_exact_groups(spark, digest):
