@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -177,15 +178,63 @@ def test_transducer_is_exact_and_shares_suffixes(tmp_path):
     assert all(t.get(w) == ids for w, ids in entries.items())
     assert all((t.get(w) is None) == (w not in words) for w in ("", "b", "zz", "a" * 12, "abéabé"))
     (tmp_path / "y").write_bytes(bpe.compile_transducer({a + "tion": [1] for a in "abcdefgh"}))
-    assert len(bpe.Transducer(str(tmp_path / "y")).parts[5]) == 6
-
-
-def test_long_words_merge_as_short_ones(library):
-    v = bpe.Vocabulary(queries.vocabulary_path())
-    for w in ("internationalization", "thethethethe", "aaaaaaaa", "ß日"):
-        parts = [v.alphabet[b] for b in w.encode()]
-        parts[-1] += v.suffix
-        assert v._merge_long(parts) == v.merge(w)
+    assert len(bpe.Transducer(str(tmp_path / "y")).final) == 6
+
+
+def test_words_merge_one_by_one_and_many_at_a_time(library):
+    """The heap, the rounds over many words, and the library."""
+    v, rng = bpe.Vocabulary(queries.vocabulary_path()), random.Random(4)
+    words = ["internationalization", "thethethethe", "aaaaaaaa", "ß日", "q", "é", *("".join(rng.choice("aeinrstth日é") for _ in range(rng.randrange(1, 25))) for _ in range(600))]
+    by_length = {}
+    for w in words:
+        by_length.setdefault(len(w.encode()), []).append(w)
+    for same in by_length.values():
+        rows = np.frombuffer("".join(same).encode(), np.uint8).reshape(len(same), -1)
+        found = {same[r]: ids.tolist() for some, many in v.merge_many(rows) for r, ids in zip(some, many)}
+        assert found == {w: v.merge(w) for w in same}
+    for w in words:
+        assert v.merge(w) == library.encode(w, add_special_tokens=False).ids
+
+
+def test_every_code_point_is_encoded_as_the_library_does(library):
+    """Each between letters and between marks, decomposed, and under marks that move or stay."""
+    encoder, texts = bpe.Encoder(queries.vocabulary_path()), []
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        part = points[at : at + 512]
+        texts += [" ".join(f"a{c}b" for c in part), " ".join(f".{c}." for c in part)]
+    under = [c for c in points if ord(c) < 0x20000 and (unicodedata.category(c)[0] == "M" or unicodedata.decomposition(c))]
+    for at in range(0, len(under), 512):
+        part = under[at : at + 512]
+        texts += [" ".join(f"a\u0345{c}b a{c}\u0334b {unicodedata.normalize('NFD', c)}" for c in part)]
+    texts += ["\U00011935\U00011930 a\u0301\U00011930\u0301\u0323"]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    for at in range(0, len(texts), 256):
+        found = encoder.encode_texts(texts[at : at + 256]).ids
+        for text, ids, w in zip(texts[at : at + 256], found, want[at : at + 256]):
+            assert ids.as_py() == w.ids, [x for x in text.split(" ") if encoder.encode(x) != library.encode(x, add_special_tokens=False).ids][:9]
+
+
+def test_slices_and_special_tokens_keep_their_rows(library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 40)
+    texts = [None, "", "a <|endoftext|>b", "the <|STARTOFTEXT|> x" * 9, "<|startoftext|><|endoftext|>", "no", "  two\t spaces\n\n", "<|endoftext|", None, "it's"]
+    encoder, seen = bpe.Encoder(queries.vocabulary_path()), 0
+    import pyarrow as pa
+
+    for at, part in bpe.slices(pa.array(texts, pa.string())):
+        e = encoder.encode_texts(part)
+        for text, n, ids, decoded in zip(part, e.n_tokens, e.ids, e.decoded.texts()):
+            want = library.encode(text or "", add_special_tokens=False).ids
+            assert ids.as_py() == want and n == len(want) and decoded.as_py() == library.decode(want, skip_special_tokens=False) == encoder.decode(want)
+            seen += 1
+    assert seen == len(texts)
+
+
+def test_frequent_words_fit_the_lexicon(spark):
+    counts = spark.createDataFrame([(f"w{i}", 20_000 // (i + 1)) for i in range(100)] + [("rare", 7)], "word string, n long")
+    assert len(bpe.frequent_words(counts)) == 100
+    some = bpe.frequent_words(counts, max_words=40)
+    assert 0 < len(some) <= 40 and set(some) == {f"w{i}" for i in range(len(some))}
 
 
 # 4 language
