@@ -33,7 +33,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegraph.plans.shared import forget, fresh_path, materialize
+from quotegraph.llm.tables import most_frequent
+from quotegraph.plans.shared import fresh_path
 
 #: The lexicon: words seen at least MIN_COUNT times in all documents, the MAX_WORDS most frequent at most.
 MIN_COUNT, MAX_WORDS = 8, 1 << 17
@@ -479,29 +480,13 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> list[str]:
-    """The most frequent words, at most ``max_words``: all whose counts lie in the upper steps of an eighth of an octave that fit.
-
-    Only the number of words in each step, and the words themselves, reach the driver.
-    """
-    frequent = materialize(counts.filter(F.col("n") >= min_count).withColumn("step", F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")), "bpe-words")
-    least, fit = None, 0
-    for step, n in sorted(frequent.groupBy("step").agg(F.count(F.lit(1))).collect(), reverse=True):  # 512 rows at most
-        if (fit := fit + n) > max_words:
-            break
-        least = step
-    words = [] if least is None else [r[0] for r in frequent.filter(F.col("step") >= least).select("word").collect()]
-    forget(frequent)
-    return sorted(words)
-
-
 def publish_lexicon(docs: DataFrame, vocabulary: str, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> str | None:
     """Compiles the frequent words of ``docs`` and ships the file to the executors; gives its name there.
 
     The lexicon is bounded by ``max_words`` whatever the input. None if no word is frequent.
     """
     spark = docs.sparkSession
-    words = frequent_words(word_counts(docs, vocabulary), min_count, max_words)
+    words = sorted(r[0] for r in most_frequent(word_counts(docs, vocabulary), min_count, max_words))
     if not words:
         return None
     v = Vocabulary(vocabulary)

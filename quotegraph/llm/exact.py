@@ -12,10 +12,10 @@ Only DataFrame operations run here.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegraph.llm.tables import located, own_columns, place, without
 from quotegraph.plans.shared import forget, fresh_path, materialize
 
 #: Digests of 32 bytes that may be broadcast: some 20 MB. Beyond it the join is shuffled.
@@ -31,14 +31,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """``docs`` with _file and _row; what isn't a plain scan of files is written first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        return materialize(docs, "exact-source").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def _keyed_state(slim: DataFrame, folder: str, bytes_per_batch: int) -> DataFrame:
     """Runs the stream over the written digests and reads its state."""
     spark = slim.sparkSession.newSession()  # the store's settings stay with the stream
@@ -47,9 +39,8 @@ def _keyed_state(slim: DataFrame, folder: str, bytes_per_batch: int) -> DataFram
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else megabytes lie reserved for each partition
     spark.conf.set("spark.sql.shuffle.partitions", slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))
     stream = spark.readStream.schema(slim.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(slim._written_at)
-    states = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(place).alias("keeper"))
+    states = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(place()).alias("keeper"))
     query = states.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
     query.awaitTermination()
     value = slim.sparkSession.read.format("statestore").load(folder)
@@ -57,31 +48,33 @@ def _keyed_state(slim: DataFrame, folder: str, bytes_per_batch: int) -> DataFram
     return value.select(F.col("key.digest").alias("digest"), count.alias("group_size"), keeper["id"].alias("keep_id"), keeper["file"].alias("_keep_file"), keeper["row"].alias("_keep_row"))
 
 
-def exact_groups(docs: DataFrame, digest=sha256, bytes_per_batch: int = 64 << 30) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with its locators, and one row for each of its rows: the group of its text.
+def exact_groups(docs: DataFrame, digest=sha256, bytes_per_batch: int = 64 << 30) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text; other columns are ignored): the group of its text.
 
-    The second frame has doc_id, keep_id, group_size, kept, text_sha256 and the locator _file, _row.
-    Texts are equal when their normalised forms are; null and empty texts are equal. Of a group,
-    the row with the least doc_id stays (an id goes before null, and of rows with one id the first
-    by locator stays, so exactly one row a group has kept = true). keep_id is null only if no row
-    of the group has an id. An empty table gives an empty result.
+    Columns: doc_id, keep_id, group_size, kept, text_sha256, and the locator _file, _row. Texts are
+    equal when their normalised forms are; null and empty texts are equal. Of a group, the row with
+    the least doc_id stays (an id goes before null, and of rows with one id the first by locator
+    stays, so exactly one row a group has kept = true). keep_id is null only if no row of the group
+    has an id. An empty table gives an empty result. Ids may be of any type that can be ordered.
 
     ``digest`` may be weak: rows whose digests collide are told apart by their whole texts.
     """
-    docs = _located(docs)
-    text = normalised(F.col("text"))
+    return _groups(*located(docs, "exact-source"), digest, bytes_per_batch)
+
+
+def _groups(docs: DataFrame, file: str, row: str, digest=sha256, bytes_per_batch: int = 64 << 30) -> DataFrame:
+    whole = docs.select("doc_id", F.col(file).alias("_file"), F.col(row).alias("_row"), normalised(F.col("text")).alias("_text"))
     strong = digest is sha256
-    sums = [digest(text).alias("digest")] + ([] if strong else [sha256(text).alias("sha")])
-    slim = materialize(docs.select("doc_id", "_file", "_row", *sums), "exact-digests")
+    sums = [digest(F.col("_text")).alias("digest")] + ([] if strong else [sha256(F.col("_text")).alias("sha")])
+    slim = materialize(whole.select("doc_id", "_file", "_row", *sums), "exact-digests")
     if slim.isEmpty():
         state = slim.selectExpr("digest", "1L AS group_size", "doc_id AS keep_id", "_file AS _keep_file", "_row AS _keep_row")
     else:
         state = materialize(_keyed_state(slim, fresh_path(docs.sparkSession, "exact-state"), bytes_per_batch), "exact-keys")
     hits = state.filter("group_size > 1").select("digest")
     side = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
-    whole = docs.select("doc_id", "_file", "_row", text.alias("_text")).withColumn("digest", digest(F.col("_text")))
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))).alias("keeper")
-    classes = whole.join(side, "digest", "left_semi").groupBy("digest", "_text").agg(F.count(F.lit(1)).alias("n"))
+    hashed = whole.withColumn("digest", digest(F.col("_text")))
+    classes = hashed.join(side, "digest", "left_semi").groupBy("digest", "_text").agg(F.count(F.lit(1)).alias("n"))
     clashes = materialize(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "exact-clashes")
 
     sha = F.col("digest") if strong else F.col("sha")
@@ -89,16 +82,15 @@ def exact_groups(docs: DataFrame, digest=sha256, bytes_per_batch: int = 64 << 30
     columns = ["doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex(sha)).alias("text_sha256"), "_file", "_row"]
     if clashes.isEmpty():
         forget(clashes)
-        return docs, slim.join(state, "digest").select(*columns)
+        return slim.join(state, "digest").select(*columns)
     plain = slim.join(clashes, "digest", "left_anti").join(state, "digest").select(*columns)
-    apart = whole.join(clashes, "digest", "left_semi")
-    owners = materialize(apart.groupBy("digest", "_text").agg(F.count(F.lit(1)).alias("group_size"), place), "exact-owners").select("digest", "_text", "group_size", F.col("keeper.id").alias("keep_id"), F.col("keeper.file").alias("_keep_file"), F.col("keeper.row").alias("_keep_row"))
+    apart = hashed.join(clashes, "digest", "left_semi")
+    owners = materialize(apart.groupBy("digest", "_text").agg(F.count(F.lit(1)).alias("group_size"), F.min(place()).alias("keeper")), "exact-owners").select("digest", "_text", "group_size", F.col("keeper.id").alias("keep_id"), F.col("keeper.file").alias("_keep_file"), F.col("keeper.row").alias("_keep_row"))
     resolved = apart.join(owners, ["digest", "_text"]).withColumn("sha", sha256(F.col("_text")))
-    return docs, plain.unionByName(resolved.withColumn("digest", F.col("sha")).select(*columns))
+    return plain.unionByName(resolved.withColumn("digest", F.col("sha")).select(*columns))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns, extra ones too."""
-    located, groups = exact_groups(docs)
-    keep = groups.filter("kept").select(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
-    return located.join(keep, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all columns, extra ones of any name too."""
+    whole, file, row = located(docs, "exact-source")
+    return without(whole, _groups(whole, file, row).filter("NOT kept"), file, row).select(*own_columns(docs))

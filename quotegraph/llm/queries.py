@@ -27,7 +27,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(_table(spark, sf_dir, "documents"))[1].select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,13 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegraph.llm.exact import _located
+from quotegraph.llm.tables import BROADCAST_ROWS, located, most_frequent, own_columns, place, without
 from quotegraph.operators.components import connected_components
-from quotegraph.operators.graph import checked_broadcast
 from quotegraph.plans.shared import forget, materialize
 
 RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 3
@@ -61,7 +61,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit i is set if more than half of the shingle hashes have it; no words give 0. Unsigned."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -182,11 +186,15 @@ def link_cell(points: np.ndarray, index: np.ndarray, asks: np.ndarray, mask: np.
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": _signed([fingerprint(t) for t in b.column("text").to_pylist()])})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+def _signed(unsigned: list[int]) -> np.ndarray:
+    return np.array(unsigned, np.uint64).view(np.int64)
 
 
 def _cells(points: DataFrame, trees: list[VantageTree], block_radius: int) -> DataFrame:
@@ -272,45 +280,75 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and locator of each row of located ``docs``, its distinct shingle hashes, and a hash of these."""
+def _measured(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of located ``docs`` one row for each of theirs, (doc_id, _file, _row, set, fp, n): a hash of its set of ``n`` shingles and its
+    fingerprint; and (h, n) of shingles that batches have more than once. Texts are walked once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
-            out = b[["doc_id", "_file", "_row"]].copy()
-            out["set"] = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
-            out["hashes"] = [h.view(np.int64) for h in found]
-            yield out
+            found = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
+            own = {c: b.column(c) for c in ("doc_id", "_file", "_row")}
+            yield pa.RecordBatch.from_pydict(own | {"set": _signed([set_name(h) for h in found]), "fp": _signed([majority(h) for h in found]), "n": [len(h) for h in found], "repeat": pa.array([False] * len(found))})
+            h, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            h, n = h[n > 1].view(np.int64), n[n > 1]
+            yield pa.RecordBatch.from_pydict({c: pa.nulls(len(h), x.type) for c, x in own.items()} | {"set": h, "fp": h, "n": n.astype(np.int64), "repeat": pa.array([True] * len(h), pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_file", "_row", "text").mapInPandas(run, f"doc_id {kind}, _file string, _row long, set long, hashes array<long>")
+    both = docs.select("doc_id", "_file", "_row", "text").mapInArrow(run, f"doc_id {kind}, _file string, _row long, set long, fp long, n long, repeat boolean")
+    both = materialize(both, "near-measured")
+    return both.filter("NOT repeat").drop("repeat"), both.filter("repeat").select(F.col("set").alias("h"), "n")
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A hash of a set of shingle hashes, by which equal sets are one."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)
+
 
+class _Texts:
+    """The texts of located documents by the sets of their shingles."""
 
-def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and about how often each occurs. They only set an order, so a bound loses no pair."""
+    def __init__(self, docs: DataFrame, file: str, row: str, measured: DataFrame, sets: DataFrame):
+        self.docs, self.file, self.row, self.measured, self.sets = docs.select(file, row, "text"), file, row, measured, sets
+
+    def one_each(self) -> DataFrame:
+        """``(text)``: one row of each set; the others of equal sets are left out by their locators."""
+        firsts = self.sets.select(F.col("keeper.file").alias("_file"), F.col("keeper.row").alias("_row"))
+        return without(self.docs, self.measured.join(firsts, ["_file", "_row"], "left_anti"), self.file, self.row).select("text")
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """``(set, text)`` of the sets of ``asked`` (set)."""
+        at = asked.join(self.sets, "set").select("set", F.col("keeper.file").alias(self.file), F.col("keeper.row").alias(self.row))
+        at = materialize(at, "near-asked")
+        return self.docs.join(F.broadcast(at) if at.count() <= BROADCAST_ROWS else at, [self.file, self.row]).select("set", "text")
+
+
+def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(set, hashes)`` of ``texts`` (set, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, n = np.unique(np.concatenate([*b["hashes"], np.empty(0, np.int64)]).astype(np.int64), return_counts=True)
-            yield pd.DataFrame({"h": h[n > 1], "n": n[n > 1].astype(np.int64)})
+            yield pd.DataFrame({"set": b["set"], "hashes": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b["text"]]})
 
-    seen = sets.select("hashes").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_SEEN)
-    rows = seen.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toPandas().sort_values("h")
-    return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    return texts.mapInPandas(run, "set long, hashes array<long>")
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(h, set, n, i)``: the first shingles of each set of ``n``, with their places, so many that sets of this Jaccard similarity share one."""
-    common = sets.sparkSession.sparkContext.broadcast(_common_shingles(sets))
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """``(h, set, n, i)``: the first shingles of the set of each of ``texts`` (text), ``n`` in all, with their places.
+
+    So many that sets of this Jaccard similarity share one. ``common`` has shingles that come last,
+    and about how often each occurs; they only set an order, so what they are loses no pair.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, often = common.value
+        known, often = shared.value
         for b in batches:
             rows = []
-            for name, h in zip(b["set"], b["hashes"]):
+            for text in b["text"]:
+                h = np.unique(shingle_hashes(text, shingle)).view(np.int64)
                 if not (n := len(h)):
                     continue
+                name = np.array(set_name(h), np.uint64).view(np.int64)
                 weight = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -320,67 +358,86 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             if rows:
                 yield pd.DataFrame(dict(zip(("h", "set", "n", "i"), map(np.concatenate, zip(*rows)))))
 
-    return sets.select("set", "hashes").mapInPandas(run, "h long, set long, n int, i int")
+    return texts.mapInPandas(run, "h long, set long, n int, i int")
 
 
-def _similar(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (src, dst) of sets (set, hashes) whose exact Jaccard similarity reaches the bound."""
+def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -> DataFrame:
+    """The distinct ``pairs`` (src, dst) of sets whose exact Jaccard similarity reaches the bound."""
     pairs = materialize(pairs, "near-pairs")
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
+    own = materialize(_hash_sets(texts.of(asked), shingle), "near-hashes")
     both = pairs.join(own.toDF("src", "_a"), "src").join(own.toDF("dst", "_b"), "dst")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return materialize(both.filter(shared / (F.size("_a") + F.size("_b") - shared) >= similarity).select("src", "dst"), "near-similar")
+    found = materialize(both.filter(shared / (F.size("_a") + F.size("_b") - shared) >= similarity).select("src", "dst"), "near-similar")
+    forget(own)
+    return found
+
 
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (h, set, n, i) whose shingle another set has too, with the block's first member."""
+    lead = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("set", "n", "i")).alias("lead")).filter("_many > 1").drop("_many")
+    return keyed.join(materialize(lead, "near-leads"), "h")
 
-def shingle_links(sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """``(src, dst)`` links that span the components of the graph of all sets (set, hashes) within ``similarity``.
 
-    Prefix filtering finds every pair: in any one order of all shingles, two sets of Jaccard
-    similarity s share a shingle among the first n - ceil(s n) + 1 of each. Common shingles come
-    last in the order, so a common line makes no block. The first member of a block is compared
-    with the others; then those pairs of a block that aren't yet in one component. Sizes and places
-    of shared shingles bound what a pair can share, and pairs that can't reach it aren't compared.
+def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.ndarray], shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """``(src, dst)`` links that span the components of the graph of all ``sets`` (set, fp) within ``similarity``.
 
-    The table behind ``sets`` is deleted on the way.
+    First the vantage-point trees: sets of one fingerprint, and of fingerprints within ``radius``
+    bits, are compared exactly. So far apart as ``similarity`` allows, fingerprints lie where no
+    tree prunes (some 10 of 64 bits at 0.8), so prefix filtering finds the rest: in any one order of
+    all shingles, two sets of Jaccard similarity s share a shingle among the first
+    n - ceil(s n) + 1 of each. Common shingles come last, so a common line makes no block. Of each
+    set's blocks, the first member that it meets most often is compared with it; then those pairs
+    of a block that aren't yet in one component. Sizes and places of shared shingles bound what a
+    pair can share, and pairs that can't reach it aren't compared.
     """
-    keyed = materialize(_prefixes(sets, similarity), "near-prefixes")
-    lead = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("set", "n", "i")).alias("lead")).filter("_many > 1").drop("_many"), "near-leads")
-    blocks = materialize(keyed.join(lead, "h").distinct(), "near-blocks")
-    forget(keyed)
-    asked = checked_broadcast(blocks.select("set").distinct())
-    own = materialize(sets.select("set", "hashes").join(asked, "set", "left_semi").dropDuplicates(["set"]), "near-asked")
-    forget(sets)
+    first = materialize(sets.groupBy("fp").agg(F.min("set").alias("first")), "near-points")
+    close = hamming_links(first.select("fp"), radius)
+    same = sets.join(first, "fp").filter("set <> first").select(F.col("first").alias("src"), F.col("set").alias("dst"))
+    ends = [first.select(F.col("fp").alias(a), F.col("first").alias(b)) for a, b in (("src", "_a"), ("dst", "_b"))]
+    near = close.join(ends[0], "src").join(ends[1], "dst").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"))
+
+    blocks = materialize(_blocks(materialize(_prefixes(texts.one_each(), common, shingle, similarity), "near-prefixes")), "near-blocks")
     needed = lambda n, m: (n + m) * (similarity / (1 + similarity)) - 1e-6  # shared shingles of a similar pair, at least
     n, m, i, j = F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i")
-    first = blocks.filter("set <> lead.set").filter((F.least(n, m) >= needed(n, m)) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= needed(n, m)))
-    star = _similar(first.select(F.col("lead.set").alias("src"), F.col("set").alias("dst")).distinct(), own, similarity)
+    fits = (F.least(n, m) >= needed(n, m)) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= needed(n, m))
+    met = blocks.filter("set <> lead.set").filter(fits).groupBy("set", F.col("lead.set").alias("_lead")).agg(F.count(F.lit(1)).alias("c"))
+    met = met.groupBy("set").agg(F.max_by("_lead", F.struct("c", "_lead")).alias("_lead")).select(F.least("set", "_lead").alias("src"), F.greatest("set", "_lead").alias("dst"))
+    star = _similar(same.unionByName(near).unionByName(met).distinct(), texts, shingle, similarity)
+
     parts = materialize(connected_components(star), "near-parts")
-    placed = materialize(blocks.join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", "i", F.coalesce("component", "set").alias("part")), "near-placed")
+    placed = materialize(blocks.drop("lead").join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", "i", F.coalesce("component", "set").alias("part")), "near-placed")
     split = placed.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low <> _high").select("h")
     open_ = materialize(placed.join(split, "h", "left_semi"), "near-open")
+    forget(placed)
+    forget(blocks)
     a, b = open_.toDF("h", "src", "n", "i", "_p"), open_.toDF("h", "dst", "m", "j", "_q")
-    met = a.join(b, "h").filter("src < dst AND _p <> _q").filter(F.least("n", "m") >= needed(F.col("n"), F.col("m")))
-    met = met.groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    rest = met.filter(F.col("c") + F.least(F.expr("n - i - 1"), F.expr("m - j - 1")) >= needed(F.col("n"), F.col("m"))).select("src", "dst")
-    return star.unionByName(_similar(rest, own, similarity))
+    n, m = F.col("n"), F.col("m")
+    together = (a["h"] == b["h"]) & (a["src"] < b["dst"]) & (a["_p"] != b["_q"]) & (F.least(n, m) >= needed(n, m))
+    met = a.join(b, together).groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    rest = met.filter(F.col("c") + F.least(F.expr("n - i - 1"), F.expr("m - j - 1")) >= needed(n, m)).select("src", "dst")
+    return star.unionByName(_similar(rest, texts, shingle, similarity))
 
 
 def near_dedup(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """Keeps one row of each group of near copies, with all its columns.
+    """Keeps one row of each group of near copies, with all its columns, extra ones of any name too.
 
     Rows link if the sets of their word shingles have this Jaccard similarity or more, which is
-    compared exactly; texts without words are equal. Fingerprints only guide :func:`simhash_groups`:
-    at 0.8 they differ in some 10 of 64 bits, where no tree prunes. Of a group the row with the
-    least (doc_id, locator) stays, an id before null, so rows that repeat an id or have none count
-    by their texts.
+    compared exactly; texts without words (null, empty, blank) are equal. Of a group the row with
+    the least (doc_id, locator) stays, an id before null, so rows that repeat an id or have none
+    count by their texts. An empty table gives an empty result.
     """
-    docs = _located(docs)
-    sets = materialize(_shingle_sets(docs, shingle), "near-sets")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))
-    least = materialize(sets.groupBy("set").agg(F.min(place).alias("keeper")), "near-least")
-    found = materialize(connected_components(shingle_links(sets, similarity)), "near-components")
-    keep = least.join(found, least["set"] == found["node"], "left").groupBy(F.coalesce("component", "set").alias("root")).agg(F.min("keeper").alias("keeper"))
-    keep = materialize(keep.select(F.col("keeper.file").alias("_f"), F.col("keeper.row").alias("_r")), "near-keep")
-    return docs.join(keep, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi").drop("_file", "_row")
+    whole, file, row = located(docs, "near-source")
+    measured, repeats = _measured(whole.select("doc_id", F.col(file).alias("_file"), F.col(row).alias("_row"), "text"), shingle)
+    sets = materialize(measured.groupBy("set").agg(F.min(place()).alias("keeper"), F.first("fp").alias("fp"), F.first("n").alias("n")), "near-sets")
+    common = sorted(most_frequent(repeats.groupBy("h").agg(F.sum("n").alias("n")), COMMON_SEEN, COMMON_SHINGLES))
+    common = np.array([x[0] for x in common], np.int64), np.array([x[1] for x in common], np.int64)
+    texts = _Texts(whole, file, row, measured, sets)
+    found = materialize(connected_components(similar_links(sets.filter("n > 0").select("set", "fp"), texts, common, shingle, similarity)), "near-components")
+    keep = sets.join(found, sets["set"] == found["node"], "left").groupBy(F.coalesce("component", "set").alias("root")).agg(F.min("keeper").alias("keeper"))
+    keep = materialize(keep.select(F.col("keeper.file").alias("_file"), F.col("keeper.row").alias("_row")), "near-keep")
+    gone = measured.select("_file", "_row").join(keep, ["_file", "_row"], "left_anti")
+    return without(whole, gone, file, row).select(*own_columns(docs))
 
 
 def hex16(fp):
