@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegraph.llm.tables import free_name
+
 BUCKETS, DIM, SIGNS, PIECE = 1 << 13, 64, 2, 64
 PAD, CAPITALS, REPEAT = BUCKETS - 1, BUCKETS - 2, BUCKETS - 3
 WINDOW = 2
@@ -190,7 +192,11 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, fold: int = 0, most: int = TRAIN_ROWS) -> tuple[WordVectors, Network]:
-    """Word vectors of all ``docs`` and a network from at most ``most`` labelled rows outside the fold."""
+    """Word vectors of all ``docs`` and a network from at most ``most`` labelled rows outside the fold.
+
+    Labels without an id or a quality are left out; of an id that ``labels`` repeats the mean counts.
+    Ids may be of any type that can be ordered. An empty table teaches nothing.
+    """
     vectors = WordVectors([tuple(r) for r in neighbour_sums(docs).collect()])
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(remainder(F.col("doc_id"), divisor) != fold)
@@ -203,13 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, fold: int = 0, mos
 
     # at most ``most`` ids are broadcast; an id may repeat, and its least text counts, so at most ``most`` rows come back
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = rows.mapInPandas(pool, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInPandas(pool, f"doc_id {kind}, y int, x array<float>").toPandas().sort_values("doc_id")
     x = np.stack(got["x"].to_list()).astype(np.float64) if len(got) else np.zeros((0, 2 * DIM))
     return vectors, Network(x, got["y"].to_numpy(np.float64))
 
 
-def score_documents(docs: DataFrame, vectors: WordVectors, network: Network) -> DataFrame:
-    """All columns of ``docs`` with ``score``, the calibrated probability of label 1.
+def score_documents(docs: DataFrame, vectors: WordVectors, network: Network) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` with the calibrated probability of label 1, and its column's name: score, or _score and so on where the table has that.
 
     A null text is an empty one and has the score of the empty vector. Only text is read for the
     score. Repeated rows have equal scores; an empty table gives an empty result.
@@ -221,7 +228,8 @@ def score_documents(docs: DataFrame, vectors: WordVectors, network: Network) ->
         v, net = shared.value
         return pd.Series(net.score(np.stack([v.pool(t) for t in texts])) if len(texts) else np.zeros(0))
 
-    return docs.withColumn("score", score(F.col("text")))
+    name = free_name(docs.columns, "score")
+    return docs.withColumn(name, score(F.col("text"))), name
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, divisor: int = 5, fold: int = 0) -> DataFrame:
@@ -229,6 +237,6 @@ def held_out_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     Without a label of each kind the score is the smoothed rate of label 1 for all.
     """
-    found = score_documents(docs.select("doc_id", "text"), *fit(docs, labels, divisor, fold))
+    found, _ = score_documents(docs.select("doc_id", "text"), *fit(docs, labels, divisor, fold))
     held = F.coalesce(remainder(F.col("doc_id"), divisor) == fold, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
