@@ -33,15 +33,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegraph.llm.tables import most_frequent
-from quotegraph.plans.shared import fresh_path
+from quotegraph.llm.tables import most_frequent, ship
 
 #: The lexicon: words seen at least MIN_COUNT times in all documents, the MAX_WORDS most frequent at most.
 MIN_COUNT, MAX_WORDS = 8, 1 << 17
 #: Characters of a word that the lexicon may have, and bytes of one that is merged among many at a time.
 WORD_LENGTH, MERGED_BYTES = 64, 64
 #: Characters of the texts of a slice (a longer text is a slice of its own), and distinct chunks that a task counts before it emits them.
-SLICE, TALLY_CHUNKS = 1 << 23, 300_000
+SLICE, TALLY_CHUNKS = 1 << 21, 200_000
 _MAGIC = b"QGMAT002"
 
 # The tokenizer library's letters and digits are those of Unicode 16.0. These came later.
@@ -475,6 +474,7 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     seen[chunk] = seen.get(chunk, 0) + n
                 if len(seen) > TALLY_CHUNKS:
                     yield emit()
+            pa.default_memory_pool().release_unused()
         yield emit()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -491,19 +491,9 @@ def publish_lexicon(docs: DataFrame, vocabulary: str, min_count: int = MIN_COUNT
         return None
     v = Vocabulary(vocabulary)
     data = compile_transducer({w: v.merge(w) for w in words})
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.mat"
-    where = f"{fresh_path(spark, 'lexicon')}/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(data)
-    out.close()
-    if name not in _PUBLISHED.setdefault(spark.sparkContext.applicationId, set()):
-        spark.sparkContext.addFile(where)
-        _PUBLISHED[spark.sparkContext.applicationId].add(name)
-    return name
-
-
-_PUBLISHED: dict[str, set[str]] = {}
+    return ship(spark, f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.mat", data)
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -533,6 +523,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: bool = True) -> Dat
                 if keep:
                     out |= {"ids": e.ids.cast(pa.list_(pa.int32())), "decoded": e.decoded.texts().cast(pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
+            pa.default_memory_pool().release_unused()
 
     more = ", ids array<int>, decoded string" if keep else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

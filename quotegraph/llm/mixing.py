@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegraph.llm.tables import BROADCAST_ROWS, free_name, located, own_columns
+from quotegraph.llm.tables import BROADCAST_ROWS, free_name, located, own_columns, part_place, spread_repeats
 from quotegraph.plans.shared import materialize
 
 #: Rows of a block, about, and how many residuals of an octave of a source are left to the last fold, and fold in a block: a power of 2.
@@ -108,29 +108,23 @@ def _joined(rows: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _mix(docs: DataFrame, file: str, row: str, weights, share, most, seed) -> DataFrame:
-    name = F.element_at(F.split(file, "/"), -1)
-    at = F.xxhash64(F.coalesce(F.nullif(F.regexp_extract(name, "^part-[0-9]+", 0), F.lit("")), name), F.col(row))  # a part's number stays from run to run
+    at = part_place(file, row)
     size = words(F.col("text"))
     draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), size, F.when(F.col("doc_id").isNull(), at))
     octave = F.when(size > 0, F.floor(F.log2(size.cast("double")))).otherwise(F.lit(-1)).cast("int")
     slim = docs.select("doc_id", "source", size.alias("size"), octave.alias("_octave"), draw.alias("draw"), at.alias("_at"), F.col(file).alias("_file"), F.col(row).alias("_row"))
     slim = materialize(slim.withColumn("_id", F.monotonically_increasing_id()), "mix-sizes")
+    drawn = spread_repeats(slim.select("_id", "source", "size", "_octave", "draw", "_at"), "draw", "_at")
 
     counts = materialize(slim.groupBy("source", "_octave").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("_rows")), "mix-counts")
     goals = materialize(targets(counts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    mixed = _joined(slim.select("_id", "source", "size", "_octave", "draw", "_at"), goals, ["source"])
-    mixed = mixed.select("_id", "source", "size", "_octave", "draw", "_at", F.floor(rate).cast("long").alias("_whole"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("mass"))
-    # rows that share a draw draw anew, by their places
-    repeats = materialize(slim.groupBy("draw").agg(F.count(F.lit(1)).alias("_same")).filter("_same > 1").select(F.col("draw").alias("_d")), "mix-repeats")
-    if many := repeats.count():
-        side = repeats.select("_d", F.lit(True).alias("_again"))
-        mixed = mixed.join(F.broadcast(side) if many <= BROADCAST_ROWS else side, F.col("draw") == F.col("_d"), "left")
-        mixed = mixed.withColumn("draw", F.when(F.col("_again"), F.xxhash64("draw", "_at")).otherwise(F.col("draw"))).drop("_d", "_again")
+    mixed = _joined(drawn, goals, ["source"])
+    mixed = mixed.select("_id", "source", "size", "_octave", "draw", F.floor(rate).cast("long").alias("_whole"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("mass"))
     # an octave's rows fold in blocks if they are more than the last fold takes
     bits = f"CASE WHEN _rows <= {1 << FAN_BITS} THEN 63 ELSE CAST(greatest({FAN_BITS}, ceil(log2(_rows / {float(BLOCK_ROWS)}))) AS INT) END"
     mixed = _joined(mixed, materialize(counts.select("source", "_octave", F.expr(bits).alias("_bits")), "mix-bits"), ["source", "_octave"])
-    mixed = mixed.withColumn("_block", F.when(F.col("_bits") < 63, F.xxhash64(F.lit(seed + 1), "draw").bitwiseAND(F.expr("shiftleft(1L, _bits) - 1"))).otherwise(F.lit(-1).cast("long"))).drop("_at")
+    mixed = mixed.withColumn("_block", F.when(F.col("_bits") < 63, F.xxhash64(F.lit(seed + 1), "draw").bitwiseAND(F.expr("shiftleft(1L, _bits) - 1"))).otherwise(F.lit(-1).cast("long")))
     mixed = materialize(mixed, "mix-masses")
 
     leaf = ["source", "_octave", "_block", "_bits"]
@@ -148,8 +142,8 @@ def _mix(docs: DataFrame, file: str, row: str, weights, share, most, seed) -> Da
         rest = after.filter(open_).unionByName(rest.filter(~folds))
         level += 1
     last = materialize(_level(rest.withColumn("draw", F.xxhash64(F.lit(seed + level), "draw")), ["source"], key), "mix-last")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("draw")), 11) / F.lit(float(1 << 53))
-    settled.append(last.withColumn("mass", F.when(open_, F.when(drawn < F.col("mass"), 1.0).otherwise(0.0)).otherwise(F.col("mass"))))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("draw")), 11) / F.lit(float(1 << 53))
+    settled.append(last.withColumn("mass", F.when(open_, F.when(chance < F.col("mass"), 1.0).otherwise(0.0)).otherwise(F.col("mass"))))
     done = None
     for part in settled:
         part = part.select("_id", (F.col("_whole") + F.col("mass").cast("long")).alias("_copies"))

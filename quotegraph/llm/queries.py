@@ -57,7 +57,7 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_table(spark, sf_dir, "documents"), keep=False)
+    return media.media_columns(_table(spark, sf_dir, "documents"))[1]
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotegraph.llm.tables import located, part_place, spread_repeats
 from quotegraph.plans.shared import forget, materialize
 
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
@@ -41,17 +42,18 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11, text: str = "t
 
     ``docs`` needs doc_id, source and the text column; others are ignored. A null text has size 1
     (no bytes plus one) and the checksum of the empty string. Null sources are a source of their
-    own. Rows with equal ids, hashes and texts are interchangeable; each still gets its own slot.
-    Fewer rows than shards leave shards empty. An empty table gives an empty result.
+    own. Rows that share an id and a checksum take places by where they are stored, so they spread
+    over buckets; each gets its own slot. Fewer rows than shards leave shards empty. An empty table
+    gives an empty result. Ids may be of any type that can be ordered and cast to a string.
     """
+    docs, file, row = located(docs, "shard-source")
     whole = F.coalesce(F.col(text), F.lit(""))
-    slim = materialize(
-        docs.select("doc_id", "source", (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(whole)).alias("_h")), "shard-rows"
-    )
+    drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(whole))
+    slim = materialize(docs.select("doc_id", "source", (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), drawn.alias("_h"), part_place(file, row).alias("_at")), "shard-rows")
     total = slim.count()
     bits = _bucket_bits(total)
     ties = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
-    hashed = slim.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits)).withColumn("_u", F.shiftrightunsigned("_h", 1))
+    hashed = spread_repeats(slim, "_h", "_at").drop("_at").withColumn("_b", F.shiftrightunsigned("_h", 64 - bits)).withColumn("_u", F.shiftrightunsigned("_h", 1))
     inside = _ranked(hashed, ["source"], "_b", [F.col("_u"), F.col("_h"), *ties], "_rank", "_of")
     place = (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_of")).cast("double")
     spread = inside.select("doc_id", "source", "size", "text_crc32", "_h", place.alias("fractional_rank"))

@@ -36,6 +36,8 @@ RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 3
 #: Points that a shard should index; points that fit the trees at most; rows of a grid chunk.
 SHARD_POINTS, SAMPLE_POINTS, INDEX_CHUNK, QUERY_CHUNK = 4096, 32768, 1 << 16, 1 << 18
 LEAF, MAX_DEPTH = 192, 12
+#: Blocks of over two members that may be broadcast, some 50 bytes each.
+BROADCAST_BLOCKS = 500_000
 #: Near-dedup: words of a shingle, least Jaccard similarity; shingles that come last in the order of prefixes, and from how many rows on.
 NEAR_SHINGLE, NEAR_SIMILARITY, COMMON_SHINGLES, COMMON_SEEN = 5, 0.8, 100_000, 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -374,9 +376,16 @@ def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (h, set, n, i) whose shingle another set has too, with the block's first member."""
-    lead = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("set", "n", "i")).alias("lead")).filter("_many > 1").drop("_many")
-    return keyed.join(materialize(lead, "near-leads"), "h")
+    """The rows of ``keyed`` (h, set, n, i) whose shingle another set has too, with the block's first member as ``lead``.
+
+    Most blocks have two members, which are the first and the last, so one aggregation gives them; only larger ones are joined.
+    """
+    member = F.struct("set", "n", "i")
+    ends = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(member).alias("lead"), F.max(member).alias("_last")).filter("_many > 1")
+    ends = materialize(ends, "near-leads")
+    two = ends.filter("_many = 2").select("h", F.explode(F.array("lead", "_last")).alias("_x"), "lead").select("h", "_x.set", "_x.n", "_x.i", "lead")
+    more = materialize(ends.filter("_many > 2").select("h", "lead"), "near-large")
+    return two.unionByName(keyed.join(F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more, "h"))
 
 
 def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.ndarray], shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = RADIUS) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotegraph.plans.shared import forget, materialize
+from quotegraph.plans.shared import forget, fresh_path, materialize
 
 #: Locators, of some 150 bytes each, that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -68,3 +68,36 @@ def most_frequent(counts: DataFrame, least: int, most: int) -> list[tuple]:
     rows = [] if lowest is None else [tuple(r) for r in frequent.filter(F.col("_step") >= lowest).drop("_step").collect()]
     forget(frequent)
     return rows
+
+
+_SHIPPED: dict[str, set[str]] = {}
+
+
+def ship(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file below the shared folder and has each executor fetch it; SparkFiles.get finds it there by ``name``, which a hash of the content should be part of."""
+    done = _SHIPPED.setdefault(spark.sparkContext.applicationId, set())
+    if name not in done:
+        where = f"{fresh_path(spark, 'shipped')}/{name}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(data)
+        out.close()
+        spark.sparkContext.addFile(where)
+        done.add(name)
+    return name
+
+
+def spread_repeats(rows: DataFrame, draw: str, at: str) -> DataFrame:
+    """``rows``, a written table, where those that share a ``draw`` get another by their place ``at``, so no number of equal rows shares a block."""
+    repeats = materialize(rows.groupBy(draw).agg(F.count(F.lit(1)).alias("_same")).filter("_same > 1").select(F.col(draw).alias("_d"), F.lit(True).alias("_again")), "repeats")
+    many = repeats.count()
+    if not many:
+        return rows
+    found = rows.join(F.broadcast(repeats) if many <= BROADCAST_ROWS else repeats, F.col(draw) == F.col("_d"), "left")
+    return found.withColumn(draw, F.when(F.col("_again"), F.xxhash64(draw, at)).otherwise(F.col(draw))).drop("_d", "_again")
+
+
+def part_place(file: str, row: str) -> Column:
+    """A hash of a row's place: the number of its file's part, or the file's name, and the row's index, which stay from run to run."""
+    name = F.element_at(F.split(F.col(file), "/"), -1)
+    return F.xxhash64(F.coalesce(F.nullif(F.regexp_extract(name, "^part-[0-9]+", 0), F.lit("")), name), F.col(row))
