@@ -1,19 +1,23 @@
 """URL filters: rules, and a model of words in host and path.
 
-A url's host labels and path parts are split into words by Viterbi over word unigrams counted in
-all pages' texts. Multinomial naive Bayes over host words and path words gives the verdict where no
-rule fits. It learns from the urls that rules do judge, and from a list of words whose meaning is
-known beforehand, which count as so many urls each.
+Host names and path parts are split into words by Viterbi over the unigrams of all pages' texts.
+Multinomial naive Bayes over the words of host and path gives the verdict where no rule fits. No
+url is labelled, and the rules teach nothing: what the model learns from is what the urls lead to.
+A page is poor if its own text is thin, is little beside its markup, or keeps repeating few words
+(:func:`page_facts`); words that stand in urls of poor pages more often than in others speak for
+blocking. Labelled urls, where a user has some, count beside the pages.
+
+Words, counts and weights are tables that are joined, so no number of words is left out and
+nothing but sums reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
-from math import exp, log
+from math import inf, log
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +25,19 @@ from pyspark.sql import functions as F
 from quotegraph.plans.shared import materialize
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words known beforehand, and the number of urls that each stands for.
-BAD_WORDS = ("spam", "farm", "cheap", "pills", "casino", "viagra", "porn", "xxx", "bet", "loan", "loans", "malware", "phishing", "crack", "warez", "torrent", "adult")
-GOOD_WORDS = ("docs", "news", "blog", "wiki", "edu", "library", "science", "research", "university", "museum")
-SEED_URLS = 1000
-#: The unigram lexicon for segmentation: words seen MIN_COUNT times in all pages. Up to MAX_WORDS are broadcast; beyond it names are joined to them.
-MIN_COUNT, MAX_WORDS, LONGEST = 3, 50_000, 20
-#: Distinct model words that may reach the driver and be broadcast; beyond it urls are joined to them.
-MODEL_WORDS = 200_000
-ALPHA = 0.5
-_TOKEN = regex.compile(r"[a-z]+")
+#: A page is poor with fewer words, with a smaller share of its characters in words, or with a smaller share of distinct words in its first LOOKED.
+THIN_WORDS, LEAST_TEXT, LEAST_DISTINCT, LOOKED = 60, 0.25, 0.2, 1000
+#: Smoothing of word counts; what an unknown word costs at least and for each letter, in nats, beyond a word seen once.
+ALPHA, UNKNOWN = 0.5, 2.3
+#: Runs of letters and digits whose weights may be broadcast, some 60 bytes each.
+BROADCAST_RUNS = 300_000
+#: Words that a task counts before it emits them.
+TALLY_WORDS = 200_000
+_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_ASCII_WORD, _WORD = re.compile("[a-z]+"), regex.compile(r"[\p{L}\p{M}]+")
+_RUNS = r"([\p{L}\p{M}]+|\p{N}+)"
+#: Log odds are added as whole numbers of this unit, so sums don't depend on the order.
+_UNIT = 1 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,213 +56,157 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def word_unigrams(pages: DataFrame) -> DataFrame:
-    """``(word, n)`` of the a-z words in the html texts of all pages, tags left out."""
-    tags = regex.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", regex.S | regex.I)
+def page_words(html: str) -> list[str]:
+    """The lower-case words of a page's own text: scripts, styles and tags left out."""
+    text = _TAGS.sub(" ", html).lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            for html in b["html"]:
-                seen.update(_TOKEN.findall(tags.sub(" ", html).lower()))
-            if len(seen) > 200_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"word": "object", "n": "int64"})
-
-    return pages.select("html").filter("html IS NOT NULL").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def marked_runs(host: str, path: str) -> list[tuple[str, str]]:
-    """Runs of letters or digits of host and path, each with the mark of where it stands."""
-    return [(mark, run) for mark, part in (("h:", host), ("p:", path)) for run in regex.findall(r"[a-z]+|[0-9]+", part.lower())]
-
-
-@dataclass
-class Segmenter:
-    """Unigram Viterbi. A piece that isn't a known word costs more the longer it is."""
-
-    counts: dict[str, int]
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    #: One more than all words' counts, if ``counts`` has only some words.
-    total: int | None = None
-
-    def __post_init__(self):
-        self.total = self.total or sum(self.counts.values()) + 1
-        self.cost = {w: log(self.total) - log(n) for w, n in self.counts.items()}
-
-    def split(self, name: str) -> tuple[str, ...]:
-        """The likeliest words of a run of letters; of equally likely ones that with the longer last word."""
-        if name not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[name] = tuple(w for at in range(0, len(name), 4096) for w in self._split(name[at : at + 4096]))
-        return self.known[name]
-
-    def _split(self, name: str) -> list[str]:
-        best, back, floor = [0.0], [0], log(self.total)
-        for end in range(1, len(name) + 1):
-            found = [(best[at] + self.cost.get(name[at:end], floor + 2.3 * (end - at) + 2.3), at) for at in range(max(0, end - LONGEST), end)]
-            cost, at = min(found)
-            best.append(cost)
-            back.append(at)
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return words[::-1]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path, marked by where they stand; digits are one mark."""
-        out = []
-        for mark, run in marked_runs(host, path):
-            out += [mark + "#"] if run[0].isdigit() else [mark + w for w in self.split(run)]
-        return out
-
-
-@dataclass
-class UrlModel:
-    """Naive Bayes weights: log odds of block against allow for each word, and to begin with."""
-
-    odds: dict[str, float]
-    mass: dict[str, float]
-    prior: float
-
-    def weigh(self, block: int, allow: int) -> float:
-        """The log odds of a word with these counts."""
-        return log((block + ALPHA) / self.mass["block"]) - log((allow + ALPHA) / self.mass["allow"])
-
-    def block_chance(self, tokens: list[str]) -> float:
-        unseen = log(self.mass["allow"] / self.mass["block"])
-        x = self.prior + sum(self.odds.get(t, unseen) for t in tokens)
-        return 1 / (1 + exp(-max(-500.0, min(500.0, x))))
-
-
-def fit(counts: list[tuple[str, str, int]], urls: dict[str, int], whole: tuple[int, int, int] | None = None) -> UrlModel:
-    """``counts`` has (verdict, word, n); ``urls`` the number of urls by verdict.
-
-    ``whole`` has the number of words and the sums of both counts, seeds included, if they are a table elsewhere.
-    """
-    by = {"block": Counter(), "allow": Counter()}
-    for verdict, word, n in counts:
-        by[verdict][word] += n
-    for verdict, seen in by.items():
-        for word, n in _seeded(verdict):
-            seen[word] += n
-    vocabulary = by["block"].keys() | by["allow"].keys()
-    size, block, allow = whole or (len(vocabulary), by["block"].total(), by["allow"].total())
-    mass = {v: n + ALPHA * (size + 1) for v, n in (("block", block), ("allow", allow))}
-    model = UrlModel({}, mass, log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1)))
-    model.odds.update((w, model.weigh(by["block"][w], by["allow"][w])) for w in sorted(vocabulary))
-    return model
 
+def is_poor(html: str, words: list[str]) -> bool:
+    """Whether a page is poor; its words are given."""
+    looked = words[:LOOKED]
+    return len(words) < THIN_WORDS or sum(map(len, words)) < LEAST_TEXT * len(html) or len(set(looked)) < LEAST_DISTINCT * len(looked)
 
-def _seeded(by: str) -> list[tuple[str, int]]:
-    return [(mark + w, SEED_URLS) for w in (BAD_WORDS if by == "block" else GOOD_WORDS) for mark in ("h:", "p:")]
 
+def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(page_id, url, poor)`` of each of ``pages``, poor null without html, and ``(word, n)`` of all their words. Pages are walked once."""
 
-def spread_words(urls: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
-    """``(host, path, words)`` of each distinct host and path, where the lexicon (word, n) is a table that need not fit a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(h, p, i, mark, run) for h, p in zip(b["host"], b["path"]) for i, (mark, run) in enumerate(marked_runs(h, p))]
-            yield pd.DataFrame(rows, columns=["host", "path", "i", "mark", "run"]).astype({"i": "int32"})
+        def tally(kind: pa.DataType) -> pa.RecordBatch:
+            n = len(seen)
+            out = pa.RecordBatch.from_pydict({"page_id": pa.nulls(n, kind), "url": pa.nulls(n, pa.string()), "poor": pa.nulls(n, pa.bool_()), "word": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64())})
+            seen.clear()
+            return out
 
-    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = None
         for b in batches:
-            for run in b["run"]:
-                words = list({run[at:end] for at in range(len(run)) for end in range(at + 1, min(at + LONGEST, len(run)) + 1)})
-                yield pd.DataFrame({"run": [run] * len(words), "word": words})
+            kind, poor = b.column("page_id").type, []
+            for html in b.column("html").to_pylist():
+                words = page_words(html or "")
+                poor.append(None if html is None else is_poor(html, words))
+                for word in words:
+                    seen[word] = seen.get(word, 0) + 1
+                if len(seen) > TALLY_WORDS:
+                    yield tally(kind)
+            yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "poor": pa.array(poor, pa.bool_()), "word": pa.nulls(len(b), pa.string()), "n": pa.nulls(len(b), pa.int64())})
+        if seen:
+            yield tally(kind)
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    both = materialize(pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, poor boolean, word string, n long"), "url-pages")
+    return both.filter("word IS NULL").select("page_id", "url", "poor"), both.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def url_runs(host: Column, path: Column) -> Column:
+    """Runs of letters or of digits of host and path, percent-decoded and in lower case, as (mark, run): the mark says where they stand."""
+
+    def runs(part: Column, mark: str) -> Column:
+        plain = F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)
+        return F.transform(F.regexp_extract_all(F.lower(plain), F.lit(_RUNS), F.lit(1)), lambda run: F.struct(F.lit(mark).alias("mark"), run.alias("run")))
+
+    return F.concat(runs(host, "h:"), runs(path, "p:"))
+
 
-    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words of a run of letters, by unigram Viterbi; of equally likely ones that with the longer last word.
+
+    ``counts`` has the words that stand in ``name``, ``total`` is one more than all words' counts. An
+    unknown word of any length may stand anywhere and costs more the longer it is.
+    """
+    floor = log(total)
+    cost = {w: floor - log(n) for w, n in counts.items()}
+    lengths = sorted({len(w) for w in cost}, reverse=True)
+    best, back = [0.0], [0]
+    start, least = 0, 0.0  # where the cheapest unknown word that ends here begins, and its cost but for its end
+    for end in range(1, len(name) + 1):
+        low, at = floor + UNKNOWN * (end + 1) + least, start
+        for n in lengths:
+            if n <= end and (own := cost.get(name[end - n : end], inf)) < inf and (best[end - n] + own, end - n) < (low, at):
+                low, at = best[end - n] + own, end - n
+        best.append(low)
+        back.append(at)
+        if low - UNKNOWN * end < least:
+            start, least = end, low - UNKNOWN * end
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def segmented(names: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(run, parts)``: the words of each distinct run of ``names`` (run), by ``lexicon`` (word, n), a written table of any size."""
+    total, longest = lexicon.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total, longest = (total or 0) + 1, longest or 0
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [Segmenter({} if own is None else {r["word"]: r["n"] for r in own}, total=total).split(run) for run, own in zip(b["run"], b["own"])]
-            yield pd.DataFrame({"run": b["run"], "parts": split})
-
-    pairs = materialize(urls.select("host", "path").distinct(), "url-pairs")
-    placed = materialize(pairs.mapInPandas(runs, "host string, path string, i int, mark string, run string"), "url-runs")
-    names = materialize(placed.select("run").filter(~F.col("run").rlike("^[0-9]")).distinct(), "url-names")
-    found = names.mapInPandas(stretches, "run string, word string").join(lexicon, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("own"))
-    parts = materialize(names.join(found, "run", "left").select("run", "own").mapInPandas(segment, "run string, parts array<string>"), "url-parts")
-    split = placed.join(parts, "run", "left").select("host", "path", "i", F.transform(F.coalesce("parts", F.array(F.lit("#"))), lambda w: F.concat("mark", w)).alias("words"))
-    whole = split.groupBy("host", "path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
-    return materialize(pairs.join(whole, ["host", "path"], "left").select("host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "url-words")
-
-
-def spread_scores(worded: DataFrame, counts: DataFrame, judged: dict[str, int]) -> DataFrame:
-    """``worded`` with block_chance, where the counts (verdict, word, n) of the model are a table that need not fit a task."""
-    seeds = counts.sparkSession.createDataFrame([(v, w, n) for v in ("block", "allow") for w, n in _seeded(v)], "verdict string, word string, n long")
-    of = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v)
-    table = materialize(counts.unionByName(seeds).groupBy("word").agg(of("block"), of("allow")), "url-odds")
-    size, block, allow = table.agg(F.count(F.lit(1)), F.sum("block"), F.sum("allow")).first()
-    model = fit([], judged, (size, block, allow))
-    asked = worded.select("host", "path", F.explode(F.array_distinct("words")).alias("word"))
-    own = asked.join(table, "word").groupBy("host", "path").agg(F.collect_list(F.struct("word", "block", "allow")).alias("own"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for run in b.column("run").to_pylist():
+                for at in range(0, len(run), 1 << 12):  # a long run comes in parts; a stretch may come twice
+                    words = list({run[i : i + n] for i in range(at, min(len(run), at + (1 << 12))) for n in range(1, min(longest, len(run) - i) + 1)})
+                    yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(words), pa.string()), "word": pa.array(words, pa.string())})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b[["host", "path", "words"]].copy()
-            out["block_chance"] = [replace(model, odds={} if o is None else {r["word"]: model.weigh(r["block"], r["allow"]) for r in o}).block_chance(list(w)) for w, o in zip(b["words"], b["own"])]
-            yield out
+            parts = [segment(run, {x["word"]: x["n"] for x in own or ()}, total) for run, own in zip(b.column("run").to_pylist(), b.column("own").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"run": b.column("run"), "parts": pa.array(parts, pa.list_(pa.string()))})
+
+    found = names.mapInArrow(stretches, "run string, word string").join(lexicon, "word").groupBy("run").agg(F.collect_set(F.struct("word", "n")).alias("own"))
+    return materialize(names.join(found, "run", "left").select("run", "own").mapInArrow(split, "run string, parts array<string>"), "url-parts")
+
 
-    return materialize(worded.join(own, ["host", "path"], "left").mapInPandas(score, "host string, path string, words array<string>, block_chance double"), "url-scores")
+def word_odds(taught: DataFrame, worded: DataFrame) -> tuple[DataFrame, int, int]:
+    """``(token, odds)`` in _UNIT for each token of ``taught`` (_id, bad), with the odds of a new token and to begin with.
+
+    ``worded`` has (_id, tokens). Odds are of block against allow.
+    """
+    of = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("n")).otherwise(0))
+    seen = taught.join(worded, "_id").select("bad", F.explode("tokens").alias("token")).groupBy("token", "bad").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(seen.groupBy("token").agg(of(True).alias("block"), of(False).alias("allow")), "url-counts")
+    many, block, allow = counts.agg(F.count(F.lit(1)), F.sum("block"), F.sum("allow")).first()
+    mass = {"block": (block or 0) + ALPHA * (many + 1), "allow": (allow or 0) + ALPHA * (many + 1)}
+    weight = F.log((F.col("block") + ALPHA) / mass["block"]) - F.log((F.col("allow") + ALPHA) / mass["allow"])
+    urls = dict(taught.groupBy("bad").agg(F.count(F.lit(1))).collect())  # two rows
+    prior = log((urls.get(True, 0) + 1) / (urls.get(False, 0) + 1))
+    return counts.select("token", F.round(weight * _UNIT).cast("long").alias("odds")), round(log(mass["allow"] / mass["block"]) * _UNIT), round(prior * _UNIT)
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, block_chance and words of every row of ``pages`` (page_id, url, html).
+def judge(pages: DataFrame, rules=RULES, examples: DataFrame | None = None, learn: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_chance, words and poor of every row of ``pages`` (page_id, url, html).
 
     A null url, or one without ``://``, has empty host and path, no words, and the verdict of the
-    prior. Columns beyond the three are ignored; repeated rows give repeated results; an empty
-    table gives an empty result. At 0.5 the verdict is allow.
+    prior. ``examples`` (url, verdict) are labelled urls to learn from beside the pages; ``learn``
+    says, by page_id, which pages are learnt from (all that have html). Other columns are ignored;
+    repeated rows give repeated results; an empty table gives an empty result. At 0.5 the verdict
+    is allow. Ids may be of any type.
     """
-    spark = pages.sparkSession.sparkContext
-    seeds = pages.sparkSession.createDataFrame([(w, MIN_COUNT) for w in (*BAD_WORDS, *GOOD_WORDS)], "word string, n long")
-    frequent = word_unigrams(pages).filter(F.col("n") >= MIN_COUNT).filter(F.length("word") <= LONGEST)
-    lexicon = materialize(frequent.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "url-lexicon")
-    many, total = lexicon.agg(F.count(F.lit(1)), F.sum("n")).first()
+    facts, counts = page_facts(pages)
+    lexicon = materialize(counts, "url-lexicon")
+    bad = F.when(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)), F.col("poor"))
+    rows = facts.select("page_id", "url", "poor", bad.alias("bad"), F.lit(True).alias("asked"))
+    if examples is not None:
+        rows = rows.unionByName(examples.filter("verdict IN ('block', 'allow')").select("url", (F.col("verdict") == "block").alias("bad"), F.lit(False).alias("asked")), allowMissingColumns=True)
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = rows.select("*", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_id"))
+    rows = materialize(rows.withColumn("_runs", url_runs(F.col("host"), F.col("path"))), "url-rows")
+
+    placed = rows.select("_id", F.posexplode("_runs").alias("i", "_x")).select("_id", "i", "_x.mark", "_x.run")
+    distinct = materialize(placed.select("mark", "run").distinct(), "url-runs")
+    parts = segmented(materialize(distinct.select("run").filter(~F.col("run").rlike(r"^\p{N}")).distinct(), "url-names"), lexicon)
+    tokens = F.transform(F.coalesce("parts", F.array(F.lit("#"))), lambda w: F.concat("mark", w))
+    known = materialize(distinct.join(parts, "run", "left").select("mark", "run", tokens.alias("tokens")), "url-tokens")
+    known = F.broadcast(known) if known.count() <= BROADCAST_RUNS else known
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "tokens"))), lambda x: x["tokens"]))
+    worded = materialize(placed.join(known, ["mark", "run"]).groupBy("_id").agg(in_order.alias("tokens")), "url-worded")
+
+    odds, new, prior = word_odds(rows.filter("bad IS NOT NULL").select("_id", "bad"), worded)
+    odds = materialize(odds, "url-odds")
+    side = F.broadcast(odds) if odds.count() <= BROADCAST_RUNS else odds
+    weighed = worded.select("_id", F.explode("tokens").alias("token")).join(side, "token", "left").groupBy("_id").agg(F.sum(F.coalesce("odds", F.lit(new))).alias("_sum"))
+    chance = 1 / (1 + F.exp(-(F.coalesce("_sum", F.lit(0)) + prior) / float(_UNIT)))
+    found = rows.filter("asked").join(worded, "_id", "left").join(weighed, "_id", "left").withColumn("block_chance", chance)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
-    judged = urls.filter("rule_verdict IS NOT NULL").select("host", "path", F.col("rule_verdict").alias("verdict"))
-    by_verdict = dict(judged.groupBy("verdict").agg(F.count(F.lit(1))).collect())  # two rows
-    segmenter = worded = None
-    if many <= MAX_WORDS:
-        segmenter = spark.broadcast(Segmenter(dict(lexicon.collect())))
-
-        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            for b in batches:
-                for h, p, v in zip(b["host"], b["path"], b["verdict"]):
-                    seen.update((v, t) for t in segmenter.value.tokens(h, p))
-                if len(seen) > 200_000:
-                    yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "word", "n"])
-                    seen.clear()
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "word", "n"]).astype({"verdict": "object", "word": "object", "n": "int64"})
-
-        tallied = judged.mapInPandas(tally, "verdict string, word string, n long")
-    else:
-        worded = spread_words(urls, lexicon, total + 1)
-        tallied = judged.groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("n")).join(worded, ["host", "path"]).select("verdict", F.explode("words").alias("word"), "n")
-    counts = materialize(tallied.groupBy("verdict", "word").agg(F.sum("n").alias("n")), "url-counts")
-    if worded is not None or counts.count() > MODEL_WORDS:
-        if worded is None:
-            worded = spread_words(urls, lexicon, total + 1)
-        scored = spread_scores(worded, counts, by_verdict)
-        own = F.when(F.col("block_chance") > 0.5, "block").otherwise("allow")
-        return urls.join(scored, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "block_chance", "words")
-    model = spark.broadcast(fit([tuple(r) for r in counts.collect()], by_verdict))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [segmenter.value.tokens(h, p) for h, p in zip(b["host"], b["path"])]
-            chance = [model.value.block_chance(w) for w in words]
-            own = ["block" if c > 0.5 else "allow" for c in chance]
-            out = b[["page_id", "host", "path", "rule"]].copy()
-            out["verdict"] = [o if v is None else v for v, o in zip(b["rule_verdict"], own)]
-            out["block_chance"], out["words"] = chance, words
-            yield out
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return urls.mapInPandas(score, f"page_id {kind}, host string, path string, rule string, verdict string, block_chance double, words array<string>")
+    own = F.when(F.col("block_chance") > 0.5, "block").otherwise("allow")
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "block_chance", F.coalesce("tokens", F.array().cast("array<string>")).alias("words"), "poor")

@@ -409,38 +409,71 @@ def test_equal_rows_spread_over_shards_and_buckets(spark):
 
 
 # 8 urls
+PAGE_WORDS = "cheap pills garden house stone water river cloud winter bridge".split()
+
+
+def url_pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, word string, n int, host string")
+
+
+def rich(rng, words=PAGE_WORDS):
+    return "<p>" + " ".join(rng.choice(words) + rng.choice(["", "s", "ly"]) for _ in range(120)) + "</p>"
+
+
 def test_url_rules_and_model(spark):
-    html = "<p>" + "cheap pills garden house stone water " * 30
-    urls = [(1, "HTTP://A.Example.NET/en/x?q", html), (2, "http://x.net/de/", html), (3, "http://example.com/de/1", html), (4, "http://a.org/fr/#t", html), (5, "http://www.cheappills.example.org/en/", html), (6, None, None), (7, "no scheme", html), (8, "http://gardenhouse.org/news/", ""), (9, "http://" + "z" * 20000 + ".org/", html)]
-    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string, html string")).collect()}
+    """Hosts of thin pages are told by their words; the rules stand above."""
+    rng = random.Random(1)
+    html, thin = rich(rng), "<p>cheap pills here</p>"
+    rows = [(1, "HTTP://A.Example.NET/en/x?q", html), (2, "http://x.net/de/", html), (3, "http://example.com/de/1", html), (4, "http://a.org/fr/#t", thin), (5, "http://www.cheappills.example.org/en/", None), (6, None, None), (7, "no scheme", html), (8, "http://gardenhouse.example.org/r%C3%ADo/", ""), (9, "http://" + "z" * 9000 + ".org/", html), (None, "http://a.b/", html)]
+    rows += [(100 + i, f"http://shop{i % 7}.cheappills.example.com/en/{i}", thin) for i in range(40)] + [(200 + i, f"http://blog{i % 5}.gardenhouse.example.com/en/{i}", rich(rng)) for i in range(60)]
+    got = {r["page_id"]: r for r in urlfilter.judge(url_pages(spark, rows)).collect()}
+    assert len(got) == len(rows)
     assert [(got[i]["rule"], got[i]["verdict"]) for i in (1, 2, 3, 4)] == [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-    assert got[5]["verdict"] == "block" and "h:pills" in got[5]["words"] and got[5]["host"] == "www.cheappills.example.org"
-    assert (got[6]["host"], got[6]["path"]) == ("", "") == (got[7]["host"], got[7]["path"])
-    assert got[8]["verdict"] == "allow" and {"h:garden", "h:house"} <= set(got[8]["words"])
+    assert got[5]["verdict"] == "block" and {"h:cheap", "h:pills"} <= set(got[5]["words"]) and got[5]["host"] == "www.cheappills.example.org" and got[5]["poor"] is None
+    assert (got[6]["host"], got[6]["path"], got[6]["words"]) == ("", "", []) and (got[7]["host"], got[7]["path"]) == ("", "")
+    assert got[8]["verdict"] == "allow" and {"h:garden", "h:house", "p:río"} <= set(got[8]["words"]) and got[8]["path"] == "/r%C3%ADo/" and got[8]["poor"]
+    assert all(got[100 + i]["verdict"] == "block" for i in range(40)) and all(got[200 + i]["verdict"] == "allow" for i in range(60))
+    assert urlfilter.judge(url_pages(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("words, model", [(0, 200_000), (50_000, 0)])
-def test_url_words_beyond_the_broadcast_count(spark, monkeypatch, words, model):
-    rng = random.Random(5)
-    name = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7)))
-    known = [name() for _ in range(60)]
-    rows = []
-    for i in range(200):
-        host, path = "".join(rng.choices(known, k=3)), "".join(rng.choices(known, k=2))
-        rows.append((i, f"http://{host}.{rng.choice(['net', 'org', 'com', 'example.net'])}/{rng.choice(['en', 'de', 'fr', ''])}/{path}/{i}", "<p>" + " ".join(rng.choices(known, k=30))))
-    rows += [(500, None, None), (501, "no scheme", ""), (501, "http://", "x"), (502, "http://" + "ab" * 3000 + ".com/1", None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    show = lambda: sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"], r["block_chance"], tuple(r["words"])) for r in urlfilter.judge(pages).collect())
-    whole = show()
-    monkeypatch.setattr(urlfilter, "MAX_WORDS", words)
-    monkeypatch.setattr(urlfilter, "MODEL_WORDS", model)
-    assert show() == whole
+def test_urls_held_out_and_labelled_urls(spark):
+    """What half of the pages and a few labelled urls teach holds for the rest; repeated rows and ties pass."""
+    rng = random.Random(2)
+    rows = [(i, f"http://{'winterbridge' if i % 3 else 'stonewater'}{rng.choice('abcde')}.example.com/p/{i}", rich(rng) if i % 3 else "<p>thin") for i in range(240)] + [(500, "http://rivercloud.com/", None)] * 2
+    labelled = spark.createDataFrame([("http://rivercloud.org/", "block")] * 200 + [("http://x.org/", None)], "url string, verdict string")
+    got = urlfilter.judge(url_pages(spark, rows), examples=labelled, learn=F.col("page_id") % 2 == 0).collect()
+    assert len(got) == len(rows)
+    assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got if r["page_id"] < 500)
+    assert [r["verdict"] for r in got if r["page_id"] == 500] == ["block"] * 2
+
 
+def test_host_path_and_rule_match_sql(spark, tmp_path):
+    import duckdb
 
-def test_segmentation_is_the_likeliest():
-    s = urlfilter.Segmenter({"the": 50, "them": 5, "me": 20, "at": 30, "eat": 3})
-    assert s.split("themeat") == ("the", "me", "at")
-    assert "".join(s.split("qqthe")) == "qqthe"
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["http", "HTTPS", "a://b", "x"]) + rng.choice(["://", ":/", "://u@"]) + rng.choice(["", "A.", "www."]) + rng.choice(["Example", "other"]) + rng.choice([".com", ".net", ".org", ".NET:80", ""]) + rng.choice(["", "/en/", "/de/x", "/fr/?q#t", "?x://y", "#/de/", "/EN/"]), "") for i in range(600)] + [(600, None, ""), (601, "", "")]
+    url_pages(spark, rows).select("page_id", "url").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    sql = r"""WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM '{}/pages/*.parquet'),
+      h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+      m AS (SELECT h.*, rule, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n FROM h LEFT JOIN (VALUES ('net', '/', 'net/'), ('example.net', '/en/', 'example.net/en/'), ('example.com', '/de/', 'example.com/de/'), ('org', '/fr/', 'org/fr/')) t(rh, rp, rule)
+        ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) SELECT page_id, host, path, rule FROM m WHERE n = 1""".replace("{}", str(tmp_path))
+    want = sorted(duckdb.sql(sql).fetchall())
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"]) for r in urlfilter.judge(url_pages(spark, rows)).collect())
+    assert got == want and len({r[3] for r in got}) == 5
+
+
+def test_segmentation_matches_all_ways_to_split():
+    s = {"the": 50, "them": 5, "me": 20, "at": 30, "eat": 3}
+    assert urlfilter.segment("themeat", s, 109) == ["the", "me", "at"] and "".join(urlfilter.segment("qqthe", s, 109)) == "qqthe" and urlfilter.segment("", s, 109) == []
+    rng = random.Random(4)
+    for _ in range(200):
+        name = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 40) for _ in range(12)}
+        total = sum(counts.values()) + 1
+        cost = lambda w: min(np.log(total / counts[w]) if w in counts else np.inf, np.log(total) + urlfilter.UNKNOWN * (len(w) + 1))  # noqa: E731, B023
+        ways = [[name[a:b] for a, b in zip([0, *cuts], [*cuts, len(name)])] for k in range(1 << len(name) - 1) for cuts in [[i + 1 for i in range(len(name) - 1) if k >> i & 1]]]
+        assert abs(sum(map(cost, urlfilter.segment(name, counts, total))) - min(sum(map(cost, w)) for w in ways)) < 1e-9
+    assert len(urlfilter.segment("z" * 30000, {"z": 1}, 2)) >= 1
 
 
 # 9 media
