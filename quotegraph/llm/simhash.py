@@ -33,9 +33,9 @@ from quotegraph.operators.components import connected_components
 from quotegraph.plans.shared import forget, materialize
 
 RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 3
-#: Points that a shard should index; points that fit the trees at most; rows of a grid chunk.
-SHARD_POINTS, SAMPLE_POINTS, INDEX_CHUNK, QUERY_CHUNK = 4096, 32768, 1 << 16, 1 << 18
-LEAF, MAX_DEPTH = 192, 12
+#: Points that a shard should index; points that fit the trees, of a shard and at most; rows of a grid chunk.
+SHARD_POINTS, SAMPLE_SHARD, SAMPLE_POINTS, INDEX_CHUNK, QUERY_CHUNK = 4096, 64, 1 << 20, 1 << 16, 1 << 18
+LEAF, MAX_DEPTH = 192, 17
 #: Blocks of over two members that may be broadcast, some 50 bytes each.
 BROADCAST_BLOCKS = 500_000
 #: Near-dedup: words of a shingle, least Jaccard similarity; shingles that come last in the order of prefixes, and from how many rows on.
@@ -248,9 +248,11 @@ def hamming_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     masks, block_radius = _block_masks(BLOCKS), radius // BLOCKS
-    rows = points.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(min(SAMPLE_POINTS, ceil(n / 8))).select("fp").toPandas() if n else pd.DataFrame({"fp": []})
-    sample = rows["fp"].to_numpy(np.int64).view(np.uint64)
-    depth = max(0, min(MAX_DEPTH, ceil(log2(max(1, n) / SHARD_POINTS)), int(log2(max(1, len(sample)) / 8))))
+    depth = max(0, min(MAX_DEPTH, ceil(log2(max(1, n) / SHARD_POINTS))))
+    share = min(ceil(n / 8), SAMPLE_SHARD << depth, SAMPLE_POINTS) / max(1, n)  # a sample by hash: what it is only changes how even shards are
+    rows = points.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("fp").toPandas()
+    sample = np.sort(rows["fp"].to_numpy(np.int64).view(np.uint64))
+    depth = min(depth, max(0, int(log2(max(1, len(sample)) / 8))))
     trees = [VantageTree(sample, m, depth) for m in masks]
 
     def search(key, cell: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +272,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A null or empty text has fingerprint zero and links like any other. component_id is the least
     non-null doc_id of the group of fingerprints reachable over links; null only if none has an
-    id. Repeated rows give repeated results. An empty table gives an empty result.
+    id. Repeated rows give repeated results. An empty table gives an empty result. Ids may be of any
+    type that can be ordered.
     """
     prints = materialize(_fingerprints(docs), "simhash-prints")
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
@@ -279,6 +282,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = materialize(points.join(found, points.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "simhash-rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    for done in (points, links, found, rooted, least):
+        forget(done)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -4,9 +4,9 @@ An archive begins with a skippable frame that holds its dictionary (itself a Zst
 raw, as the public .warc.zst convention has it), then one Zstandard frame per record. The reader
 takes the dictionary from that frame, decodes one frame per record, and checks frame magic,
 version line, header syntax, Content-Length against the record's bytes, and block and payload
-digests. Archives are written through the file system that the shared folder's URI names and are
-read by Spark's binary file source; only archives that a task reported are read, so a task that
-ran twice leaves nothing that counts.
+digests. Tasks write and read archives through the file system that the shared folder's URI names.
+A table names the archives that a task reported, and only those are read, so a task that ran twice
+leaves nothing that counts, and no list of archives reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,11 +27,13 @@ from quotegraph.plans.shared import fresh_path
 
 SKIPPABLE = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
-#: Payload bytes in an archive, pages that train a dictionary, and its size.
-ARCHIVE_BYTES, DICTIONARY_PAGES, DICTIONARY_BYTES, LEVEL = 16 << 20, 256, 1 << 16, 3
+#: Payload bytes in an archive; pages that train a dictionary, the bytes of one at most, and the dictionary's size.
+ARCHIVE_BYTES, DICTIONARY_PAGES, DICTIONARY_PAGE, DICTIONARY_BYTES, LEVEL = 16 << 20, 256, 1 << 16, 1 << 16, 3
 LEAST_REVISIT = 100
 #: Groups of equal payloads that may be broadcast; beyond it the join is shuffled.
 BROADCAST_GROUPS = 100_000
+#: Tasks that read archives, at most.
+READ_TASKS = 20_000
 
 
 class WarcError(ValueError):
@@ -41,7 +44,7 @@ def record_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``pages`` (page_id, html) as page_id, payload, digest and refers_to; null refers_to is a response.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest page_id is the
-    response. Ids are numbers; among rows that repeat that id each is a response.
+    response. Ids may be of any type that can be ordered; among rows that repeat that id each is a response.
     """
     body = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.lower(F.sha2("payload", 256)))
     large = body.filter(F.octet_length("payload") >= least)
@@ -52,7 +55,7 @@ def record_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def _headers(page_id, payload: bytes, digest: str, refers_to) -> bytes:
-    uri = lambda x: f"urn:page:{x}"
+    uri = lambda x: f"urn:page:{quote(str(x), safe='')}"
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
     lines = [
@@ -73,9 +76,12 @@ def _headers(page_id, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def train_dictionary(pages: DataFrame, most: int = DICTIONARY_PAGES) -> bytes:
-    """A dictionary from at most ``most`` whole pages, those with the least hashes; empty if they are too few."""
-    rows = pages.filter("html IS NOT NULL").select("html", F.xxhash64("page_id", F.length("html")).alias("_h")).orderBy("_h").limit(most).collect()
-    samples = [r[0].encode("utf-8", "surrogatepass") for r in rows]
+    """A dictionary from about ``most`` whole pages, those with the least hashes of the ones that aren't large; empty if they are too few."""
+    ranked = pages.filter(F.octet_length("html") <= DICTIONARY_PAGE).select("html", F.xxhash64(F.col("page_id").cast("string"), F.length("html")).alias("_h"))
+    least = ranked.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]  # hashes only: each task sends its least ones
+    if least is None:
+        return b""
+    samples = [r[0].encode("utf-8") for r in ranked.filter(F.col("_h") <= least).limit(most).collect()]
     if len(samples) < 16:
         return b""
     try:
@@ -84,6 +90,15 @@ def train_dictionary(pages: DataFrame, most: int = DICTIONARY_PAGES) -> bytes:
         return b""
 
 
+def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and the path of a URI as Hadoop writes it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or uri.startswith("/"):
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    rest = "//" + rest if not rest.startswith("//") else rest
+    return pyarrow.fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def archive_head(dictionary: bytes) -> bytes:
     """The leading skippable frame, or nothing without a dictionary."""
     if not dictionary:
@@ -100,8 +115,8 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``records`` (page_id, payload, digest, refers_to) and reports ``(path, records)`` of each archive."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, where = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:/", "file:///", 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = _file_system(folder)
         fs.create_dir(where, recursive=True)
         packer, head = _compressor(dictionary), archive_head(dictionary)
         done, held, size = [], [], 0
@@ -113,18 +128,18 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
             done.append((f"{folder}/{name}", len(held)))
 
         for b in batches:
-            for page_id, payload, digest, refers_to in zip(b["page_id"], b["payload"], b["digest"], b["refers_to"]):
-                ids = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
-                held.append(packer.compress(_headers(ids[0], payload, digest, ids[1])))
-                size += len(payload) + 512
+            for page_id, payload, digest, refers_to in zip(*(b.column(c) for c in ("page_id", "payload", "digest", "refers_to"))):
+                held.append(packer.compress(_headers(page_id.as_py(), payload.as_py(), digest.as_py(), refers_to.as_py())))
+                size += len(payload.as_buffer()) + 512
                 if size >= archive_bytes:
                     close()
                     held, size = [], 0
         if held:
             close()
-        yield pd.DataFrame(done, columns=["path", "records"]).astype({"path": "object", "records": "int64"})
+        yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in done], pa.string()), "records": pa.array([d[1] for d in done], pa.int64())})
 
-    return records.mapInPandas(run, "path string, records long")
+    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
+    return records.select(named[0], "payload", "digest", named[1]).mapInArrow(run, "path string, records long")
 
 
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -191,30 +206,33 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
     length = int(headers["x-payload-length"])
     if kind == "response" and length != len(block):
         raise WarcError(f"the payload of {target} has {len(block)} bytes, not {length}")
-    number = lambda uri: None if uri is None else int(uri.rpartition(":")[2])
-    return number(target), length, payload, kind, number(headers.get("warc-refers-to-target-uri")), block
+    name = lambda uri: None if uri is None else unquote(uri.rpartition(":")[2])
+    return name(target), length, payload, kind, name(headers.get("warc-refers-to-target-uri")), block
 
 
-def read_archives(manifest: DataFrame, keep: bool = True) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; with ``keep`` the payload (null in revisits)."""
-    spark = manifest.sparkSession
-    files = [r[0] for r in manifest.select("path").collect()]  # a name for each archive of some megabytes
+def read_archives(manifest: DataFrame, keep: bool = True, id_type: str = "bigint") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives of ``manifest`` (path); with ``keep`` the payload (null in revisits).
+
+    A task holds one archive at a time.
+    """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 if keep else 5]
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if keep else "")
-    if not files:
-        return spark.createDataFrame([], schema)
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"]:
+            for path in b.column("path").to_pylist():
+                fs, where = _file_system(path)
+                with fs.open_input_file(where) as f:
+                    content = f.read()
                 rows = []
                 for headers, block in read_archive(content):
                     row = _row(headers, block)
                     rows.append((*row[:5], block if row[3] == "response" else None)[: len(names)])
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in zip(range(len(names)), kinds)], names)
 
-    return spark.read.format("binaryFile").load(files).select("content").mapInPandas(run, schema)
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + (", payload binary" if keep else "")
+    found = manifest.select("path").repartition(max(1, min(manifest.count(), READ_TASKS)), "path").mapInArrow(run, schema)
+    return found.select(*[F.col(c).cast(id_type).alias(c) if c in ("page_id", "refers_to") else c for c in names])
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, keep: bool = False) -> DataFrame:
@@ -222,11 +240,12 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, keep: bool
 
     A null html is an empty payload. An empty table writes no archive and gives an empty result.
     Rows repeat as records. Rows without a page_id get records without a target; among them equal
-    payloads with a smallest id elsewhere are revisits of it.
+    payloads with a smallest id elsewhere are revisits of it. Ids may be of any type that a string
+    can be cast to.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     written = write_archives(record_types(pages), folder, train_dictionary(pages), archive_bytes)
     manifest = fresh_path(spark, "warc-manifest")
     written.write.parquet(manifest)
-    return read_archives(spark.read.parquet(manifest), keep)
+    return read_archives(spark.read.parquet(manifest), keep, pages.schema["page_id"].dataType.simpleString())

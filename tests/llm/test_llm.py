@@ -299,6 +299,8 @@ def test_archives_round_trip(spark):
     assert got[3]["record_type"] == "revisit" and got[3]["refers_to"] == 1 and got[3]["payload_bytes"] == len(long) and got[3]["payload_digest"] == got[1]["payload_digest"]
     assert got[6]["record_type"] == got[2]["record_type"] == "response" and bytes(got[7]["payload"]).decode() == "é" * 200000
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    named = spark.createDataFrame([("b é:1", None, long), ("a", None, long), ("a", None, long)], "page_id string, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(named).collect()) == [("a", "response", None)] * 2 + [("b é:1", "revisit", "a")]
 
 
 def test_reader_checks_frames_and_lengths():
