@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotegraph.functions.text import D, S, collapse, strip, title_key, unwrap
+from quotegraph.functions.text import D, S, bind, collapse, strip, title_key, unwrap
 
 # Words in a category and the role that they mean.
 ROLES = {
@@ -52,8 +52,9 @@ WORK_BLACKLIST = (
 PREFIX_BLACKLIST = ("page ", "ch ", "chapter ", "vol ", "volume ", "http", "www", "read ", "from ")
 # Phrases before a quoted title, in order of preference.
 TITLE_PHRASES = ("from the book", "in the book", "from his book", "from her book", "as quoted in", "from the play", "from the poem", "from the essay")
-#: A trailing attribution: after a dash, or in parentheses.
+# A trailing attribution, after a dash or in parentheses, and what such a text has.
 ATTRIBUTION = rf"(?s)\A(.*?){S}+(?:[—–\-~]{S}*([A-Z][^\n]{{4,50}}?)|\({S}*([A-Z][^\n]{{4,50}}?){S}*\)){S}*\z"
+ATTRIBUTION_MARK = rf"{S}[—–\-~(]"
 
 
 def page_facts(title: Column, text: Column) -> Column:
@@ -82,37 +83,47 @@ def _reject(name: Column, digits: int, blacklist: tuple[str, ...]) -> Column:
 
 def author_reject_reason(name: Column) -> Column:
     """Why a candidate is no author; null if it may be one."""
-    return _reject(collapse(name), 4, AUTHOR_BLACKLIST)
+    return bind(collapse(name), lambda n: _reject(n, 4, AUTHOR_BLACKLIST))
 
 
 def work_reject_reason(title: Column) -> Column:
     """Why a candidate is no work; null if it may be one."""
-    return _reject(strip(title), 8, WORK_BLACKLIST)
+    return bind(strip(title), lambda t: _reject(t, 8, WORK_BLACKLIST))
 
 
 def extract_author(text: Column) -> Column:
     """``struct(quote, author, confidence, pattern)`` of a trailing attribution, or null."""
-    bare = strip(text)
-    dash, parens = F.regexp_extract(bare, ATTRIBUTION, 2), F.regexp_extract(bare, ATTRIBUTION, 3)
-    author = strip(F.regexp_replace(strip(F.when(dash != "", dash).otherwise(parens)), r"[.,;:]\z", ""))
-    words = F.filter(F.split(author, rf"{S}+"), lambda w: w != "")
-    named = F.size(words).between(2, 3) & F.forall(words, lambda w: ~w.rlike(r"\A\p{L}+\z") | w.rlike(r"\A\p{Lu}"))
-    found = bare.rlike(ATTRIBUTION) & author_reject_reason(author).isNull()
-    return F.when(found, F.struct(unwrap(F.regexp_extract(bare, ATTRIBUTION, 1)).alias("quote"), author.alias("author"), F.when(named, 0.98).otherwise(0.90).alias("confidence"), F.when(dash != "", "dash").otherwise("parens").alias("pattern")))
+
+    def parts(bare: Column) -> Column:
+        # the pattern holds one name, so a text without either has no match
+        found = F.struct(*[F.regexp_extract(bare, ATTRIBUTION, i).alias(n) for i, n in ((1, "quote"), (2, "dash"), (3, "parens"))])
+        return F.when(bare.rlike(ATTRIBUTION_MARK), bind(found, named))
+
+    def named(x: Column) -> Column:
+        name = F.regexp_replace(strip(F.when(x["dash"] != "", x["dash"]).otherwise(x["parens"])), r"[.,;:]\z", "")
+        return bind(strip(name), lambda author: checked(x, author))
+
+    def checked(x: Column, author: Column) -> Column:
+        words = F.filter(F.split(author, rf"{S}+"), lambda w: w != "")
+        sure = bind(words, lambda w: F.size(w).between(2, 3) & F.forall(w, lambda one: ~one.rlike(r"\A\p{L}+\z") | one.rlike(r"\A\p{Lu}")))
+        found = F.struct(unwrap(x["quote"]).alias("quote"), author.alias("author"), F.when(sure, 0.98).otherwise(0.90).alias("confidence"), F.when(x["dash"] != "", "dash").otherwise("parens").alias("pattern"))
+        return F.when((author != "") & author_reject_reason(author).isNull(), found)
+
+    return bind(strip(text), parts)
 
 
 def quoted_title(text: Column) -> Column:
-    """The first acceptable title in quote marks after one of the phrases, by the phrases' order; or null."""
-    found = []
-    for phrase in TITLE_PHRASES:
-        pattern = rf"(?iu)\b{phrase}{S}+[\"“‘]([A-Z][^”’\"]{{3,60}}?)[\"”’]"
-        title = strip(F.regexp_extract(text, pattern, 1))
-        found.append(F.when((title != "") & work_reject_reason(title).isNull(), title))
-    return F.coalesce(*found)
+    """The first acceptable title in quote marks after one of the phrases, by the phrases' order; or null.
+
+    Texts without any phrase before a quote mark are told by one pattern.
+    """
 
+    def title(t: Column, phrase: str) -> Column:
+        found = strip(F.regexp_extract(t, rf"(?iu)\b{phrase}{S}+[\"“‘]([A-Z][^”’\"]{{3,60}}?)[\"”’]", 1))
+        return bind(found, lambda x: F.when((x != "") & work_reject_reason(x).isNull(), x))
 
-def title_word_count(title: Column) -> Column:
-    return F.size(F.filter(F.split(title, rf"{S}+"), lambda w: w != ""))
+    some = text.rlike(rf"(?iu)(?:{'|'.join(TITLE_PHRASES)}){S}+[\"“‘]")
+    return F.when(some, bind(text, lambda t: F.coalesce(*[title(t, phrase) for phrase in TITLE_PHRASES])))
 
 
-__all__ = ["author_reject_reason", "extract_author", "page_facts", "quoted_title", "title_key", "title_word_count", "work_reject_reason"]
+__all__ = ["author_reject_reason", "extract_author", "page_facts", "quoted_title", "title_key", "work_reject_reason"]

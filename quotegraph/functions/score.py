@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quotegraph.functions.text import S, W, full_match, strip
+from quotegraph.functions.text import S, W, bind, full_match, strip
 
 # Patterns of the quality score.
 WIKI_JUNK = rf"(?iu)\{{\{{|\[\[|<ref|</ref|\|{S}*{W}|\bFile:|\bImage:|=={S}*{W}|&[a-z]+;|&#\p{{Nd}}+;|\bCategory:"
@@ -34,29 +34,32 @@ def scored_text(text: Column, before_cleaning: Column) -> Column:
 
 def quality_score(text: Column, has_person: Column, has_work: Column, has_source: Column, is_canonical: Column, needs_review: Column) -> Column:
     """``struct(score, bucket, high_quality, reasons)``. Only is_canonical = false counts as a duplicate."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(strip(text))
-    leak = text.rlike(METADATA_LEAK) | text.rlike(WIKI_JUNK)
-    signals = [
-        (has_person, 2, "has_person"),
-        (has_work, 2, "has_work"),
-        (has_source, 1, "has_source"),
-        (n.between(30, 300), 1, "good_length"),
-        (~leak, 1, "clean_text"),
-        (is_canonical.eqNullSafe(F.lit(False)), -3, "duplicate"),
-        (leak, -2, "metadata_leak"),
-        (n < 30, -2, "too_short"),
-        (n > 600, -2, "too_long"),
-        (needs_review, -3, "needs_review"),
-        (text.rlike(ODD_FORMATTING), -1, "suspicious_formatting"),
-    ]
-    score, reasons = F.lit(0), []
-    for fires, points, name in signals:
-        fires = F.coalesce(fires, F.lit(False))
-        score = score + F.when(fires, points).otherwise(0)
-        reasons.append(F.when(fires, F.lit(f"{points:+d}:{name}")))
-    named = bucket(score)
-    return F.struct(score.cast("int").alias("score"), named.alias("bucket"), (named == "high_quality").alias("high_quality"), F.array_compact(F.array(*reasons)).alias("reasons"))
+    seen = F.coalesce(text, F.lit(""))
+    found = F.struct(F.length(strip(seen)).alias("n"), (seen.rlike(METADATA_LEAK) | seen.rlike(WIKI_JUNK)).alias("leak"), seen.rlike(ODD_FORMATTING).alias("odd"))
+
+    def signals(x: Column) -> Column:
+        n, leak = x["n"], x["leak"]
+        table = [
+            (has_person, 2, "has_person"),
+            (has_work, 2, "has_work"),
+            (has_source, 1, "has_source"),
+            (n.between(30, 300), 1, "good_length"),
+            (~leak, 1, "clean_text"),
+            (is_canonical.eqNullSafe(F.lit(False)), -3, "duplicate"),
+            (leak, -2, "metadata_leak"),
+            (n < 30, -2, "too_short"),
+            (n > 600, -2, "too_long"),
+            (needs_review, -3, "needs_review"),
+            (x["odd"], -1, "suspicious_formatting"),
+        ]
+        return F.array_compact(F.array(*[F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(points).alias("points"), F.lit(f"{points:+d}:{name}").alias("reason"))) for fires, points, name in table]))
+
+    def named(fired: Column) -> Column:
+        total = F.aggregate(fired, F.lit(0), lambda sum_, x: sum_ + x["points"])
+        reasons = F.transform(fired, lambda x: x["reason"])
+        return bind(total, lambda score: F.struct(score.cast("int").alias("score"), bucket(score).alias("bucket"), (bucket(score) == "high_quality").alias("high_quality"), reasons.alias("reasons")))
+
+    return bind(bind(found, signals), named)
 
 
 def bucket(score: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +16,8 @@ from pyspark.sql.types import StringType
 S = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 NOT_S = S.replace("[", "[^", 1)
 D, W = r"\p{Nd}", r"[\p{L}\p{N}_]"
+#: The characters of S, to trim by.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(S, c))
 
 # Characters that may wrap a quote.
 OPENING_MARKS, CLOSING_MARKS = "\"'“‘", "\"'”’"
@@ -22,33 +26,48 @@ ASCII_PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 QUOTE_PUNCTUATION = "“”‘’«»…"
 # Starts of lines that are no quotes.
 METADATA_STARTS = ("[[Category:", "{{", "File:", "Image:", "==", "See also", "External links", "References")
+# Phrases of the pages' own texts that the rule UI_JUNK looks for at a text's end and at its start.
+UI_ENDS = "Read more|See more|Show more|Continue reading|Share|Copy|Tweet|Pin it"
+UI_STARTS = "Read more|See more|Show more"
 # Patterns of the in-place cleaning rules, in the order in which they run.
 HTML_JUNK = rf"&[a-z]+;|&#{D}+;|</?{W}+[^>]*>|^{S}*\*+{S}*|^{S}*={S}*"
 WIKI_BRACKETS = rf"(?iu)\[{D}+\]|\[(?:citation needed|note {D}+|source)\]"
-UI_JUNK = rf"(?iu)(?:\b(?:Read more|See more|Show more|Continue reading|Share|Copy|Tweet|Pin it)\b(?:[.:]|{S})*)\z|^(?:\b(?:Read more|See more|Show more)\b(?:[.:]|{S})*)"
+UI_JUNK = rf"(?iu)(?:\b(?:{UI_ENDS})\b(?:[.:]|{S})*)\z|^(?:\b(?:{UI_STARTS})\b(?:[.:]|{S})*)"
 SOURCE_METADATA = (
     rf"(?iu)(?:[(\[\-—]{S}*)?(?:(?:p\.|pp\.|page|pages){S}*{D}+(?:-{D}+)?|(?:vol\.|volume){S}*{D}+"
     rf"|(?:ch\.|chapter){S}*{W}+|(?:issue|edition){S}*{D}+)(?:{S}*[)\]])?{S}*\z"
 )
 EXCESSIVE_PUNCT = r"\.{4,}"
+# Page markup, and what is left of it.
+BOLD_MARKS, LINK, TEMPLATE, TAG, BRACKETS = "'{2,5}", r"\[\[(?=[^\]])(?:[^\]]*\|)?([^\]|]*)\]\]", r"\{\{[^}]+\}\}", "<[^>]+>", r"\[\[|\]\]|\{\{|\}\}"
 # Patterns of the quality filter, at the start of a text.
 FILTER_STARTS = r"(?iu)^(?:\[.*\](?:\z|\n\z)|File:|Image:|Retrieved|Archived|\{\{|\|)"
 # Patterns that mark a text as a candidate for cleaning; each is tried on a text of one line.
 DIRTY = ("(?i).*(read more|see more|show more).*", r"(?i).*(page |p\.|pp\.|vol\.|chapter ).*", r".*\[\d+\].*", ".*&[a-zA-Z]+;.*", ".*<[^>]+>.*")
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{S}+|{S}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"{S}+", " "))
+    """Runs of white space as one space, none at the ends. Single spaces are left as they stand."""
+    return F.trim(F.regexp_replace(c, rf"{S}{{2,}}|{S[:-1]}&&[^ ]]", " "))
 
 
 def unwrap(c: Column, opening: str = OPENING_MARKS, closing: str = CLOSING_MARKS) -> Column:
     """Without the quote marks around a stripped text."""
-    return strip(F.regexp_replace(strip(c), rf"^[{opening}]+|[{closing}]+\z", ""))
+    return strip(F.rtrim(F.ltrim(strip(c), F.lit(opening)), F.lit(closing)))
+
+
+def without_marks(c: Column, marks: str) -> Column:
+    """``c`` without the characters ``marks``."""
+    return F.regexp_replace(c, "[" + "".join("\\" + m if m.isascii() else m for m in marks) + "]+", "")
 
 
 def full_match(c: Column, pattern: str) -> Column:
@@ -59,10 +78,8 @@ def full_match(c: Column, pattern: str) -> Column:
 
 def wiki_text(c: Column) -> Column:
     """Page markup: bold and italic marks, links (their last part stays), templates, tags, white space."""
-    c = F.regexp_replace(c, "'{2,5}", "")
-    c = F.regexp_replace(c, r"\[\[(?=[^\]])(?:[^\]]*\|)?([^\]|]*)\]\]", "$1")
-    c = F.regexp_replace(c, r"\{\{[^}]+\}\}", "")
-    return collapse(F.regexp_replace(c, "<[^>]+>", ""))
+    c = F.regexp_replace(F.regexp_replace(c, BOLD_MARKS, ""), LINK, "$1")
+    return collapse(F.regexp_replace(F.regexp_replace(c, TEMPLATE, ""), TAG, ""))
 
 
 def quote_lines(text: Column) -> Column:
@@ -81,8 +98,7 @@ def quote_lines(text: Column) -> Column:
 
 def markup_remnants(c: Column) -> Column:
     """Brackets and braces of links and templates, bold and italic marks, tags; what they hold stays."""
-    c = F.regexp_replace(c, r"\[\[|\]\]|\{\{|\}\}", "")
-    return F.regexp_replace(F.regexp_replace(c, "'{2,5}", ""), "<[^>]+>", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, BRACKETS, ""), BOLD_MARKS, ""), TAG, "")
 
 
 @F.pandas_udf(StringType())
@@ -147,19 +163,39 @@ def full_clean(c: Column, decode: bool = True) -> Column:
     return F.when(F.length(strip(c)) >= 10, out)
 
 
+def _ends_in_ui(c: Column) -> Column:
+    """Whether UI_JUNK can match: a phrase before the marks and spaces at the end, or at the start."""
+    tail = F.substring(F.rtrim(c, F.lit(SPACES + ".:")), -16, 16)
+    return tail.rlike(rf"(?iu)(?:{UI_ENDS})\z") | F.substring(c, 1, 16).rlike(rf"(?iu)^(?:{UI_STARTS})")
+
+
+def _ends_in_source(c: Column) -> Column:
+    """Whether SOURCE_METADATA can match: it ends in a word's character or a bracket."""
+    return F.substring(F.rtrim(c, F.lit(SPACES)), -1, 1).rlike(rf"{W}|[)\]]")
+
+
 def in_place_clean(c: Column) -> Column:
-    """``struct(text, rules, confidence, needs_review)`` of the rule-based cleaning."""
-    now, rules = c, []
-    for name, pattern, to in (("HTML_JUNK", HTML_JUNK, ""), ("WIKI_BRACKETS", WIKI_BRACKETS, ""), ("UI_JUNK", UI_JUNK, ""), ("SOURCE_METADATA", SOURCE_METADATA, ""), ("EXCESSIVE_PUNCT", EXCESSIVE_PUNCT, "…")):
-        rules.append(F.when(now.rlike(pattern), F.lit(name)))
-        now = F.regexp_replace(now, pattern, to)
-    fired = F.array_compact(F.array(*rules))
-    now = unwrap(F.regexp_replace(F.translate(now, " ", " "), rf"{S}+", " "))
-    old_length, new_length = F.length(strip(c)), F.length(now)
-    same = (strip(c) == now) & (F.size(fired) == 0)
-    removed = 1.0 - new_length / F.greatest(F.lit(1), old_length)
-    confidence = F.when(same, 0.0).when(new_length < 10, 0.1).when(removed > 0.30, 0.5).when(F.array_contains(fired, "UI_JUNK") | F.array_contains(fired, "SOURCE_METADATA"), 0.95).otherwise(1.0)
-    return F.struct(F.when(same, c).otherwise(now).alias("text"), fired.alias("rules"), confidence.alias("confidence"), (~same & ((new_length < 10) | (removed > 0.30))).alias("needs_review"))
+    """``struct(text, rules, confidence, needs_review)`` of the rule-based cleaning. Each rule's pattern runs once, and only where it can match."""
+    always = lambda t: F.lit(True)
+    steps = (("HTML_JUNK", HTML_JUNK, "", always), ("WIKI_BRACKETS", WIKI_BRACKETS, "", always), ("UI_JUNK", UI_JUNK, "", _ends_in_ui), ("SOURCE_METADATA", SOURCE_METADATA, "", _ends_in_source), ("EXCESSIVE_PUNCT", EXCESSIVE_PUNCT, "…", always))
+
+    def run(at: int, now: Column, fired: Column) -> Column:
+        if at == len(steps):
+            return bind(unwrap(F.regexp_replace(F.translate(now, " ", " "), rf"{S}{{2,}}|{S[:-1]}&&[^ ]]", " ")), lambda out: verdict(out, fired))
+        name, pattern, to, can = steps[at]
+        # a pattern that matches takes something away, so a rule fires where the text changes
+        return bind(F.when(can(now), F.regexp_replace(now, pattern, to)).otherwise(now), lambda new: run(at + 1, new, F.when(new != now, F.concat(fired, F.array(F.lit(name)))).otherwise(fired)))
+
+    def verdict(now: Column, fired: Column) -> Column:
+        return bind(F.struct(strip(c).alias("old"), fired.alias("fired")), lambda x: judged(now, x["old"], x["fired"]))
+
+    def judged(now: Column, old: Column, fired: Column) -> Column:
+        new_length, same = F.length(now), (old == now) & (F.size(fired) == 0)
+        removed = 1.0 - new_length / F.greatest(F.lit(1), F.length(old))
+        confidence = F.when(same, 0.0).when(new_length < 10, 0.1).when(removed > 0.30, 0.5).when(F.array_contains(fired, "UI_JUNK") | F.array_contains(fired, "SOURCE_METADATA"), 0.95).otherwise(1.0)
+        return F.struct(F.when(same, c).otherwise(now).alias("text"), fired.alias("rules"), confidence.alias("confidence"), (~same & ((new_length < 10) | (removed > 0.30))).alias("needs_review"))
+
+    return F.when(c.isNotNull(), run(0, c, F.array().cast("array<string>")))
 
 
 def dirty_candidate(c: Column) -> Column:
@@ -171,7 +207,7 @@ def dirty_candidate(c: Column) -> Column:
 
 def dedup_form(c: Column) -> Column:
     """The normal form of the graph's dedup: unwrapped, lower case, no punctuation, white space collapsed."""
-    return collapse(F.translate(F.lower(unwrap(F.coalesce(c, F.lit("")))), ASCII_PUNCTUATION + QUOTE_PUNCTUATION, ""))
+    return collapse(without_marks(F.lower(unwrap(F.coalesce(c, F.lit("")))), ASCII_PUNCTUATION + QUOTE_PUNCTUATION))
 
 
 def layered_form(c: Column, compose: bool = True) -> Column:
@@ -179,7 +215,7 @@ def layered_form(c: Column, compose: bool = True) -> Column:
     text = nfkc(c) if compose else c
     text = strip(F.regexp_replace(text, rf"{S}*[—–\-~]{S}*[A-Z][^\n]{{0,60}}(?:\z|(?=\n\z))", ""))
     text = unwrap(text, OPENING_MARKS + "«‹", CLOSING_MARKS + "»›")
-    return collapse(F.translate(F.lower(text), ASCII_PUNCTUATION, ""))
+    return collapse(without_marks(F.lower(text), ASCII_PUNCTUATION))
 
 
 def person_key(c: Column) -> Column:

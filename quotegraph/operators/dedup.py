@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotegraph.functions.score import ratio_reaches
-from quotegraph.functions.text import S, dedup_form, layered_form, strip
+from quotegraph.functions.text import S, bind, dedup_form, layered_form, strip
 from quotegraph.operators.components import connected_components
 from quotegraph.operators.graph import checked_broadcast, first_of_block
-from quotegraph.plans.shared import materialize
+from quotegraph.plans.shared import materialize, spread
 
 # Words that the layered dedup's content tokens leave out.
 STOP_WORDS = (
@@ -80,13 +80,33 @@ def minhash_signatures(forms: DataFrame, permutations: int = 128, k: int = 3) ->
 
 
 def exact_form_groups(quotes: DataFrame) -> DataFrame:
-    """``(quote_id, quote_hash, group_size, first_id)`` of quotes whose normal form has 15 characters or more."""
-    forms = quotes.select("quote_id", dedup_form(F.col("text")).alias("form")).filter(F.length("form") >= LEAST_LENGTH)
-    hashed = forms.select("quote_id", F.substring(F.sha2("form", 256), 1, 16).alias("quote_hash"))
+    """``(quote_id, quote_hash, group_size, first_id)`` of quotes whose normal form has 15 characters or more.
+
+    Forms are made once; what is grouped and joined is a written table of hashes.
+    """
+    own = bind(dedup_form(F.col("text")), lambda form: F.when(F.length(form) >= LEAST_LENGTH, F.substring(F.sha2(form, 256), 1, 16)))
+    hashed = materialize(spread(quotes.select("quote_id", "text")).select("quote_id", own.alias("quote_hash")), "dedup-hashes").filter("quote_hash IS NOT NULL")
     groups = hashed.groupBy("quote_hash").agg(F.count(F.lit(1)).alias("group_size"), F.min("quote_id").alias("first_id"))
     return hashed.join(groups, "quote_hash")
 
 
+def blocking_keys(form: Column) -> Column:
+    """First five words, last five, and a length bucket with the three longest; none for short forms."""
+
+    def keys(words: Column) -> Column:
+        placed = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
+        longest = F.array_sort(F.transform(F.slice(F.sort_array(placed), 1, 3), lambda x: x["w"]))
+        bucket = (F.floor(F.length(form) / 10) * 10).cast("string")
+        own = F.array(
+            F.concat(F.lit("pfx:"), F.concat_ws(" ", F.slice(words, 1, 5))),
+            F.concat(F.lit("sfx:"), F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 4, F.lit(1)), F.lit(5)))),
+            F.concat(F.lit("len"), bucket, F.lit(":"), F.concat_ws("_", longest)),
+        )
+        return F.when((F.size(words) >= 3) & (F.length(form) >= LEAST_LENGTH), own).otherwise(F.array().cast("array<string>"))
+
+    return bind(word_list(form), keys)
+
+
 def blocking_keys(form: Column) -> Column:
     """First five words, last five, and a length bucket with the three longest; none for short forms."""
     words = word_list(form)
@@ -101,37 +121,36 @@ def blocking_keys(form: Column) -> Column:
     return F.when((F.size(words) >= 3) & (F.length(form) >= LEAST_LENGTH), keys).otherwise(F.array().cast("array<string>"))
 
 
-def block_pairs(keyed: DataFrame, id_col: str = "quote_id", least: int = LEAST_BLOCK, most: int = MOST_BLOCK) -> DataFrame:
+def block_pairs(keyed: DataFrame, id_col: str = "quote_id", least: int = LEAST_BLOCK, most: int = MOST_BLOCK, size: str | None = None, ratio: float = 0.0) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, that share a key whose block has ``least`` to ``most`` rows.
 
     Block sizes come from a partial aggregation, so an oversized block never meets in a task; the
-    kept ones are bounded, and so are their pairs.
+    kept ones are bounded, and so are their pairs. With ``size``, a column, only pairs whose sizes
+    are to each other as ``ratio`` or more.
     """
-    keyed = materialize(keyed.select(F.col(id_col).alias("id"), F.xxhash64("key").alias("k"), F.col("key")).distinct(), "block-keys")
-    fair = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least, most)).select("k", "key")
-    kept = materialize(keyed.join(fair, ["k", "key"], "left_semi").select("k", "key", "id"), "block-rows")
-    a, b = kept.select("k", "key", F.col("id").alias("a")), kept.select("k", "key", F.col("id").alias("b"))
-    return a.join(b, ["k", "key"]).filter("a < b").select("a", "b").distinct()
+    n = F.lit(0) if size is None else F.col(size)
+    keyed = materialize(keyed.select(F.col(id_col).alias("id"), F.xxhash64("key").alias("k"), F.col("key"), n.alias("n")).distinct(), "block-keys")
+    fair = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many").between(least, most)).select("k", "key")
+    kept = materialize(keyed.join(fair, ["k", "key"], "left_semi").select("k", "key", "id", "n"), "block-rows")
+    a, b = (kept.select("k", "key", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    met = a.join(b, (a["k"] == b["k"]) & (a["key"] == b["key"]) & (a["a"] < b["b"]) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ratio))
+    return met.select("a", "b").distinct()
 
 
 def near_pairs(quotes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Pairs ``(a, b)`` that share a block and whose words or characters agree to ``threshold``.
 
-    Sizes of word sets are tried before the sets, and sets before characters. Word sets aren't
-    carried through the pair shuffle: ids are paired first, then rows fetched.
+    Sizes of word sets go with the keys and are tried before the sets; sets, of 64-bit hashes, are
+    tried before characters. Sets and forms aren't carried through the pair shuffle: ids are paired
+    first, then rows fetched.
     """
-    forms = materialize(quotes.select("quote_id", dedup_form(F.col("text")).alias("form")).filter(F.length("form") >= LEAST_LENGTH).withColumn("words", F.array_distinct(word_list(F.col("form")))), "dedup-forms")
-    keyed = forms.select("quote_id", F.explode(blocking_keys(F.col("form"))).alias("key"))
-    sizes = forms.select(F.col("quote_id").alias("_id"), F.size("words").alias("n"))
-    pairs = block_pairs(keyed)
-    for side in ("a", "b"):
-        own = sizes.select(F.col("_id").alias(side), F.col("n").alias(f"n_{side}"))
-        pairs = pairs.join(own, side)
+    own = bind(dedup_form(F.col("text")), lambda form: F.when(F.length(form) >= LEAST_LENGTH, F.struct(form.alias("form"), F.array_distinct(F.transform(word_list(form), lambda w: F.xxhash64(w))).alias("words"), blocking_keys(form).alias("keys"))))
+    forms = materialize(spread(quotes.select("quote_id", "text")).select("quote_id", own.alias("f")).filter("f IS NOT NULL").select("quote_id", "f.*"), "dedup-forms")
     gate = threshold - 0.15
-    close = materialize(pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * gate).select("a", "b"), "dedup-close")
-    left = forms.select(F.col("quote_id").alias("a"), F.col("form").alias("form_a"), F.col("words").alias("words_a"))
-    right = forms.select(F.col("quote_id").alias("b"), F.col("form").alias("form_b"), F.col("words").alias("words_b"))
-    scored = close.join(left, "a").join(right, "b").withColumn("jaccard", jaccard(F.col("words_a"), F.col("words_b"))).filter(F.col("jaccard") >= gate)
+    sizes = forms.select("quote_id", F.size("words").alias("n"), F.explode("keys").alias("key"))
+    close = materialize(block_pairs(sizes, size="n", ratio=gate), "dedup-close")
+    side = lambda c: forms.select(F.col("quote_id").alias(c), F.col("form").alias(f"form_{c}"), F.col("words").alias(f"words_{c}"))
+    scored = close.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", jaccard(F.col("words_a"), F.col("words_b"))).filter(F.col("jaccard") >= gate)
     return scored.filter((F.col("jaccard") >= threshold) | edit_at_least(F.col("form_a"), F.col("form_b"), threshold)).select("a", "b", "jaccard")
 
 

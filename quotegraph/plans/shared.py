@@ -59,3 +59,12 @@ def forget(df: DataFrame) -> None:
     """Deletes the table behind a result of :func:`materialize`."""
     if path := getattr(df, "_written_at", None):
         discard(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly where its scan makes fewer tasks than there are cores, as a small file of one row group does.
+
+    For what follows to be heavy work on each row. A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quotegraph.functions import dialogue, extract, score, text
 from quotegraph.operators import dedup, graph, search, vectors
 from quotegraph.operators.components import connected_components
-from quotegraph.plans.shared import fresh_path, materialize
+from quotegraph.plans.shared import fresh_path, materialize, spread
 from quotegraph.sources import pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,12 +75,12 @@ DIRTY = "CASE doc_id % 8 " + " ".join("WHEN {} THEN text || '{}'".format(i, s.re
 
 
 def dirtied(spark: SparkSession, d: str) -> DataFrame:
-    return quotes(spark, d).withColumn("text", dirty())
+    return spread(quotes(spark, d)).withColumn("text", dirty())
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Quotes with their flags, score and bucket."""
-    q = quotes(spark, d)
+    q = spread(quotes(spark, d))
     for edges, name in ((said, "has_person"), (has_work, "has_work"), (has_source, "has_source")):
         q = graph.edge_flag(q, "quote_id", edges(spark, d), "quote_id", name)
     toxic = table(spark, d, "labels").groupBy(F.col("doc_id").alias("quote_id")).agg((F.max("toxic") == 1).alias("needs_review"))
@@ -243,8 +243,8 @@ def txt13_dedup_form(s, d):
 
 @query(f"WITH {KEYS} SELECT quote_id, key FROM keyed")
 def dup2_blocking_keys(s, d):
-    forms = quotes(s, d).select("quote_id", text.dedup_form(F.col("text")).alias("form"))
-    return forms.select("quote_id", F.explode(dedup.blocking_keys(F.col("form"))).alias("key")).distinct()
+    keys = text.bind(text.dedup_form(F.col("text")), dedup.blocking_keys)
+    return spread(quotes(s, d)).select("quote_id", F.explode(keys).alias("key")).distinct()
 
 
 @query(f"WITH {KEYS} SELECT a, b FROM pairs")
