@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegraph.llm.tables import most_frequent, ship
+from quotegraph.llm.tables import most_frequent, ship, text_slices
 
 #: The lexicon: words seen at least MIN_COUNT times in all documents, the MAX_WORDS most frequent at most.
 MIN_COUNT, MAX_WORDS = 8, 1 << 17
@@ -337,16 +337,6 @@ def chunks(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[pa.Array, n
     return flat, counts
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of some SLICE characters, with the place of the first."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-        yield at, texts.slice(at, end - at).to_pylist()
-        at = end
-
-
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each run of ``size``, one run after another."""
     ends = np.cumsum(size, dtype=np.int64)
@@ -468,7 +458,7 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"word": pa.array(kept, pa.string()), "n": pa.array([words[w] for w in kept], pa.int64())})
 
         for b in batches:
-            for _, texts in slices(b.column("text")):
+            for _, texts in text_slices(b.column("text"), SLICE):
                 counts = pc.value_counts(chunks(v, texts)[0])
                 for chunk, n in zip(strings(counts.field("values")), counts.field("counts").to_numpy().tolist()):
                     seen[chunk] = seen.get(chunk, 0) + n
@@ -517,7 +507,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: bool = True) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary, name)
         for b in batches:
-            for at, texts in slices(b.column("text")):
+            for at, texts in text_slices(b.column("text"), SLICE):
                 e = encoder.encode_texts(texts, keep)
                 out = {"doc_id": b.column("doc_id").slice(at, len(texts)), "n_tokens": pa.array(e.n_tokens, pa.int64()), "ids_sha256": pa.array(e.ids_text.digests(), pa.string()), "decoded_sha256": pa.array(e.decoded.digests(), pa.string())}
                 if keep:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegraph.llm.tables import BROADCAST_ROWS, located, most_frequent, own_columns, place, without
+from quotegraph.llm.tables import BROADCAST_ROWS, located, most_frequent, own_columns, place, text_slices, without
 from quotegraph.operators.components import connected_components
 from quotegraph.plans.shared import forget, materialize
 
@@ -36,8 +36,8 @@ RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 3
 #: Points that a shard should index; points that fit the trees, of a shard and at most; rows of a grid chunk.
 SHARD_POINTS, SAMPLE_SHARD, SAMPLE_POINTS, INDEX_CHUNK, QUERY_CHUNK = 4096, 64, 1 << 20, 1 << 16, 1 << 18
 LEAF, MAX_DEPTH = 192, 17
-#: Blocks of over two members that may be broadcast, some 50 bytes each.
-BROADCAST_BLOCKS = 500_000
+#: Shared shingles (8 bytes) and pairs of sets (16 bytes) that may be broadcast; characters of texts that are hashed at once.
+BROADCAST_SHINGLES, BROADCAST_PAIRS, SLICE = 2_000_000, 500_000, 1 << 21
 #: Near-dedup: words of a shingle, least Jaccard similarity; shingles that come last in the order of prefixes, and from how many rows on.
 NEAR_SHINGLE, NEAR_SIMILARITY, COMMON_SHINGLES, COMMON_SEEN = 5, 0.8, 100_000, 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -289,16 +289,17 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _measured(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Of located ``docs`` one row for each of theirs, (doc_id, _file, _row, set, fp, n): a hash of its set of ``n`` shingles and its
-    fingerprint; and (h, n) of shingles that batches have more than once. Texts are walked once."""
+    fingerprint; and (h, n) of shingles that some SLICE characters of texts have more than once. Texts are walked once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
-            own = {c: b.column(c) for c in ("doc_id", "_file", "_row")}
-            yield pa.RecordBatch.from_pydict(own | {"set": _signed([set_name(h) for h in found]), "fp": _signed([majority(h) for h in found]), "n": [len(h) for h in found], "repeat": pa.array([False] * len(found))})
-            h, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
-            h, n = h[n > 1].view(np.int64), n[n > 1]
-            yield pa.RecordBatch.from_pydict({c: pa.nulls(len(h), x.type) for c, x in own.items()} | {"set": h, "fp": h, "n": n.astype(np.int64), "repeat": pa.array([True] * len(h), pa.bool_())})
+            for at, texts in text_slices(b.column("text"), SLICE):
+                found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                own = {c: b.column(c).slice(at, len(texts)) for c in ("doc_id", "_file", "_row")}
+                yield pa.RecordBatch.from_pydict(own | {"set": _signed([set_name(h) for h in found]), "fp": _signed([majority(h) for h in found]), "n": [len(h) for h in found], "repeat": pa.array([False] * len(found))})
+                h, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+                h, n = h[n > 1].view(np.int64), n[n > 1]
+                yield pa.RecordBatch.from_pydict({c: pa.nulls(len(h), x.type) for c, x in own.items()} | {"set": h, "fp": h, "n": n.astype(np.int64), "repeat": pa.array([True] * len(h), pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = docs.select("doc_id", "_file", "_row", "text").mapInArrow(run, f"doc_id {kind}, _file string, _row long, set long, fp long, n long, repeat boolean")
@@ -332,40 +333,49 @@ class _Texts:
 def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``(set, hashes)`` of ``texts`` (set, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"set": b["set"], "hashes": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b["text"]]})
+            for at, part in text_slices(b.column("text"), SLICE):
+                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part]
+                ends = np.concatenate(([0], np.cumsum([len(h) for h in found], dtype=np.int64)))
+                lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.concatenate([*found, np.empty(0, np.int64)]))
+                yield pa.RecordBatch.from_pydict({"set": b.column("set").slice(at, len(part)), "hashes": lists})
 
-    return texts.mapInPandas(run, "set long, hashes array<long>")
+    return texts.mapInArrow(run, "set long, hashes array<long>")
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
-    """``(h, set, n, i)``: the first shingles of the set of each of ``texts`` (text), ``n`` in all, with their places.
+    """``(h, set, n)``: the first shingles of the set of each of ``texts`` (text), ``n`` in all.
 
     So many that sets of this Jaccard similarity share one. ``common`` has shingles that come last,
     and about how often each occurs; they only set an order, so what they are loses no pair.
     """
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                h = np.unique(shingle_hashes(text, shingle)).view(np.int64)
-                if not (n := len(h)):
-                    continue
-                name = np.array(set_name(h), np.uint64).view(np.int64)
-                weight = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    weight = np.where(known[at] == h, often[at], 0)
-                first = h[np.lexsort((h, weight))[: n - ceil(similarity * n - 1e-9) + 1]]
-                rows.append((first, np.full(len(first), name, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-            if rows:
-                yield pd.DataFrame(dict(zip(("h", "set", "n", "i"), map(np.concatenate, zip(*rows)))))
-
-    return texts.mapInPandas(run, "h long, set long, n int, i int")
+            for _, part in text_slices(b.column("text"), SLICE):
+                firsts, names, sizes = [np.empty(0, np.int64)], [], []
+                for text in part:
+                    h = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+                    if not (n := len(h)):
+                        continue
+                    names.append(set_name(h))
+                    sizes.append(n)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                    firsts.append(h[: _prefix(n, similarity)])
+                many = [len(x) for x in firsts[1:]]
+                yield pa.RecordBatch.from_pydict({"h": np.concatenate(firsts), "set": np.repeat(_signed(names), many), "n": np.repeat(np.array(sizes, np.int32), many)})
+
+    return texts.mapInArrow(run, "h long, set long, n int")
+
+
+def _prefix(n: int, similarity: float) -> int:
+    """How many first shingles of ``n`` two sets of this similarity must share one of."""
+    return n - ceil(similarity * n - 1e-9) + 1
 
 
 def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -> DataFrame:
@@ -373,7 +383,8 @@ def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -
     pairs = materialize(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
     own = materialize(_hash_sets(texts.of(asked), shingle), "near-hashes")
-    both = pairs.join(own.toDF("src", "_a"), "src").join(own.toDF("dst", "_b"), "dst")
+    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    both = own.toDF("src", "_a").join(side, "src").join(own.toDF("dst", "_b"), "dst")
     shared = F.size(F.array_intersect("_a", "_b"))
     found = materialize(both.filter(shared / (F.size("_a") + F.size("_b") - shared) >= similarity).select("src", "dst"), "near-similar")
     forget(own)
@@ -381,16 +392,12 @@ def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (h, set, n, i) whose shingle another set has too, with the block's first member as ``lead``.
-
-    Most blocks have two members, which are the first and the last, so one aggregation gives them; only larger ones are joined.
-    """
-    member = F.struct("set", "n", "i")
-    ends = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min(member).alias("lead"), F.max(member).alias("_last")).filter("_many > 1")
-    ends = materialize(ends, "near-leads")
-    two = ends.filter("_many = 2").select("h", F.explode(F.array("lead", "_last")).alias("_x"), "lead").select("h", "_x.set", "_x.n", "_x.i", "lead")
-    more = materialize(ends.filter("_many > 2").select("h", "lead"), "near-large")
-    return two.unionByName(keyed.join(F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more, "h"))
+    """The rows of ``keyed`` (h, set, n) whose shingle another set has too. Hashes alone are counted; most are seen once and go."""
+    more = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("h"), "near-shared")
+    blocks = materialize(keyed.join(F.broadcast(more) if more.count() <= BROADCAST_SHINGLES else more, "h", "left_semi"), "near-blocks")
+    forget(more)
+    forget(keyed)
+    return blocks
 
 
 def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.ndarray], shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -400,36 +407,40 @@ def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.n
     bits, are compared exactly. So far apart as ``similarity`` allows, fingerprints lie where no
     tree prunes (some 10 of 64 bits at 0.8), so prefix filtering finds the rest: in any one order of
     all shingles, two sets of Jaccard similarity s share a shingle among the first
-    n - ceil(s n) + 1 of each. Common shingles come last, so a common line makes no block. Of each
-    set's blocks, the first member that it meets most often is compared with it; then those pairs
-    of a block that aren't yet in one component. Sizes and places of shared shingles bound what a
-    pair can share, and pairs that can't reach it aren't compared.
+    n - ceil(s n) + 1 of each. Common shingles come last, so a common line makes no block. Each set
+    is compared with the first member that it meets most often in its blocks; then those pairs of a
+    block that aren't yet in one component.
+
+    Pairs that can't be similar aren't compared: of the two sets, one has its last first shingle no
+    later than the other. Each of its first shingles that the other set has is a first one there
+    too, so they share no more than c, the first shingles that both have, and all of its others.
     """
     first = materialize(sets.groupBy("fp").agg(F.min("set").alias("first")), "near-points")
     close = hamming_links(first.select("fp"), radius)
     same = sets.join(first, "fp").filter("set <> first").select(F.col("first").alias("src"), F.col("set").alias("dst"))
     ends = [first.select(F.col("fp").alias(a), F.col("first").alias(b)) for a, b in (("src", "_a"), ("dst", "_b"))]
-    near = close.join(ends[0], "src").join(ends[1], "dst").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"))
-
-    blocks = materialize(_blocks(materialize(_prefixes(texts.one_each(), common, shingle, similarity), "near-prefixes")), "near-blocks")
-    needed = lambda n, m: (n + m) * (similarity / (1 + similarity)) - 1e-6  # shared shingles of a similar pair, at least
-    n, m, i, j = F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i")
-    fits = (F.least(n, m) >= needed(n, m)) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= needed(n, m))
-    met = blocks.filter("set <> lead.set").filter(fits).groupBy("set", F.col("lead.set").alias("_lead")).agg(F.count(F.lit(1)).alias("c"))
-    met = met.groupBy("set").agg(F.max_by("_lead", F.struct("c", "_lead")).alias("_lead")).select(F.least("set", "_lead").alias("src"), F.greatest("set", "_lead").alias("dst"))
+    near = close.join(ends[0], "src").join(ends[1], "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
+
+    blocks = _blocks(materialize(_prefixes(texts.one_each(), common, shingle, similarity), "near-prefixes"))
+    least = lambda n, m: (n + m) * (similarity / (1 + similarity)) - 1e-6  # shared shingles of a similar pair
+    fits = lambda n, m: F.least(n, m) >= least(n, m)
+    needed = lambda n, m: least(n, m) - F.ceil(similarity * F.greatest(n, m) - 1e-9) + 1  # of them among the first ones
+    lead = materialize(blocks.groupBy("h").agg(F.min(F.struct("set", "n")).alias("lead")), "near-leads")
+    n, m = F.col("n"), F.col("m")
+    met = blocks.join(lead, "h").select("set", "n", F.col("lead.set").alias("_lead"), F.col("lead.n").alias("m")).filter((F.col("set") != F.col("_lead")) & fits(n, m))
+    met = met.groupBy("set", "n", "_lead", "m").agg(F.count(F.lit(1)).alias("c")).filter(2 * F.col("c") >= needed(n, m))  # not all that they share
+    met = met.groupBy("set").agg(F.max_by("_lead", F.struct("c", "_lead")).alias("_lead")).select(F.col("_lead").alias("src"), F.col("set").alias("dst"))
     star = _similar(same.unionByName(near).unionByName(met).distinct(), texts, shingle, similarity)
 
     parts = materialize(connected_components(star), "near-parts")
-    placed = materialize(blocks.drop("lead").join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", "i", F.coalesce("component", "set").alias("part")), "near-placed")
+    placed = materialize(blocks.join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", F.coalesce("component", "set").alias("part")), "near-placed")
     split = placed.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low <> _high").select("h")
     open_ = materialize(placed.join(split, "h", "left_semi"), "near-open")
-    forget(placed)
-    forget(blocks)
-    a, b = open_.toDF("h", "src", "n", "i", "_p"), open_.toDF("h", "dst", "m", "j", "_q")
-    n, m = F.col("n"), F.col("m")
-    together = (a["h"] == b["h"]) & (a["src"] < b["dst"]) & (a["_p"] != b["_q"]) & (F.least(n, m) >= needed(n, m))
-    met = a.join(b, together).groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    rest = met.filter(F.col("c") + F.least(F.expr("n - i - 1"), F.expr("m - j - 1")) >= needed(n, m)).select("src", "dst")
+    for done in (placed, blocks, lead, first):
+        forget(done)
+    a, b = open_.toDF("h", "src", "n", "_p"), open_.toDF("h", "dst", "m", "_q")
+    met = a.join(b, (a["h"] == b["h"]) & (a["src"] < b["dst"]) & (a["_p"] != b["_q"]) & fits(n, m))
+    rest = met.groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= needed(n, m)).select("src", "dst")
     return star.unionByName(_similar(rest, texts, shingle, similarity))
 
 

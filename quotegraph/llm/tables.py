@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +104,13 @@ def part_place(file: str, row: str) -> Column:
     """A hash of a row's place: the number of its file's part, or the file's name, and the row's index, which stay from run to run."""
     name = F.element_at(F.split(F.col(file), "/"), -1)
     return F.xxhash64(F.coalesce(F.nullif(F.regexp_extract(name, "^part-[0-9]+", 0), F.lit("")), name), F.col(row))
+
+
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of some ``most`` bytes, with the place of the first; a longer text is a run of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield at, texts.slice(at, end - at).to_pylist()
+        at = end
