@@ -195,7 +195,8 @@ def in_place_clean(c: Column) -> Column:
         confidence = F.when(same, 0.0).when(new_length < 10, 0.1).when(removed > 0.30, 0.5).when(F.array_contains(fired, "UI_JUNK") | F.array_contains(fired, "SOURCE_METADATA"), 0.95).otherwise(1.0)
         return F.struct(F.when(same, c).otherwise(now).alias("text"), fired.alias("rules"), confidence.alias("confidence"), (~same & ((new_length < 10) | (removed > 0.30))).alias("needs_review"))
 
-    return F.when(c.isNotNull(), run(0, c, F.array().cast("array<string>")))
+    none = F.struct(F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("rules"), F.lit(1.0).alias("confidence"), F.lit(False).alias("needs_review"))
+    return F.when(c.isNull(), none).otherwise(run(0, c, F.array().cast("array<string>")))
 
 
 def dirty_candidate(c: Column) -> Column:
@@ -250,3 +251,16 @@ def tokens(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Stretches that end with ``.``, ``!`` or ``?``, stripped."""
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"([^.!?]+[.!?]*)"), F.lit(1)), strip), lambda s: s != "")
+
+
+def processed(c: Column) -> Column:
+    """``struct(normalised, tokens, lemmas, sentences, sentence_count)`` of a text, without a model: a word is its own lemma.
+
+    The normalised text has the lower-case words, one space between them; punctuation is left out.
+    """
+
+    def parts(all_tokens: Column) -> Column:
+        words = F.filter(all_tokens, lambda t: t.rlike(rf"^{W}"))
+        return bind(words, lambda lemmas: F.struct(F.array_join(F.transform(lemmas, lambda w: F.lower(w)), " ").alias("normalised"), all_tokens.alias("tokens"), lemmas.alias("lemmas")))
+
+    return bind(F.struct(bind(tokens(c), parts).alias("t"), sentences(c).alias("s")), lambda x: F.struct(x["t"]["normalised"].alias("normalised"), x["t"]["tokens"].alias("tokens"), x["t"]["lemmas"].alias("lemmas"), x["s"].alias("sentences"), F.size(x["s"]).alias("sentence_count")))

@@ -141,16 +141,23 @@ def index_exists(spark: SparkSession, name: str) -> bool:
 
 
 def write_swap(df: DataFrame, path: str) -> None:
-    """Writes next to ``path`` and then takes its place, so a reader sees the old rows or the new ones."""
+    """Writes next to ``path`` and then takes its place.
+
+    A reader finds the old rows until the first rename and the new ones after the second; between
+    the two, some milliseconds, the path isn't there. Raises if a rename fails, and then the old
+    rows are at ``path`` or at ``path__old``.
+    """
     spark = df.sparkSession
     jvm = spark._jvm.org.apache.hadoop.fs
     new, at, old = (jvm.Path(path + x) for x in ("__new", "", "__old"))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(path + "__new")
-    fs.delete(old, True)
     if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"{path} can't be renamed")
+    if not fs.rename(new, at):
+        raise OSError(f"{path}__new can't take its place")
     fs.delete(old, True)
 
 

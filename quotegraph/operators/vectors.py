@@ -105,23 +105,74 @@ def _unit(df: DataFrame, id_col: str) -> DataFrame:
     return flat.select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
 
 
+def nearest_vector(probes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(id, neighbour, similarity)``: of ``profiles`` (speaker, embedding) the likeliest for each of ``probes`` (probe_id, embedding), similarities moved to 0..1."""
+    found = nearest_among(_unit(probes, "probe_id"), _unit(profiles, "speaker"), 1)
+    return found.select("id", "neighbour", ((F.col("similarity") + 1) / 2).alias("similarity"))
+
+
 def identify_speakers(probes: DataFrame, profiles: DataFrame, threshold: float = SPEAKER_THRESHOLD) -> DataFrame:
     """``(probe_id, speaker, similarity, identified)``: the likeliest profile of each probe.
 
     Of equal similarities the first speaker wins; nothing above 0, as for a zero vector, means no
     speaker and similarity 0. Speakers and probes have long ids.
     """
-    found = nearest_among(_unit(probes, "probe_id"), _unit(profiles, "speaker"), 1).select("id", "neighbour", ((F.col("similarity") + 1) / 2).alias("_s"))
+    found = nearest_vector(probes, profiles).withColumnRenamed("similarity", "_s")
     rows = probes.select("probe_id").join(found, F.col("probe_id") == F.col("id"), "left")
     similarity = F.coalesce("_s", F.lit(0.0))
     return rows.select("probe_id", F.when(similarity > 0, F.col("neighbour")).alias("speaker"), similarity.alias("similarity"), (similarity >= threshold).alias("identified"))
 
 
-def update_profiles(profiles: DataFrame, updates: DataFrame) -> DataFrame:
-    """Profiles with new names and embeddings where ``updates`` has the speaker; sample counts rise by one."""
+#: Columns of the table of speaker profiles.
+PROFILE = ("speaker", "name", "embedding", "voice_preferences", "created_at", "last_seen", "sample_count")
+
+
+def create_profiles(profiles: DataFrame | None, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """``profiles`` and a profile for each of ``new`` (speaker, name, embedding, voice_preferences: JSON or null).
+
+    Preferences that aren't given are the default's; both times are ``now`` and the sample count is
+    1. A speaker that has a profile keeps it.
+    """
+    now = F.current_timestamp() if now is None else now
+    default = store_preferences(F.lit("default"), F.lit(1.0), F.lit(0.0))
+    made = new.select("speaker", "name", "embedding", F.coalesce("voice_preferences", default).alias("voice_preferences"), now.alias("created_at"), now.alias("last_seen"), F.lit(1).alias("sample_count"))
+    if profiles is None:
+        return made
+    return profiles.select(*PROFILE).unionByName(made.join(profiles.select("speaker"), "speaker", "left_anti").select(*PROFILE))
+
+
+def get_profile(profiles: DataFrame, speaker) -> DataFrame:
+    """The profile of one speaker, its preferences read; no row without one."""
+    own = profiles.filter(F.col("speaker") == F.lit(speaker))
+    return own.withColumn("voice_preferences", voice_preferences(F.col("voice_preferences")))
+
+
+def list_profiles(profiles: DataFrame) -> DataFrame:
+    """All profiles without their embeddings, those seen last first."""
+    return profiles.select("speaker", "name", "created_at", "last_seen", "sample_count").orderBy(F.desc("last_seen"), "speaker")
+
+
+def profile_embeddings(profiles: DataFrame) -> DataFrame:
+    return profiles.select("speaker", "embedding")
+
+
+def delete_profiles(profiles: DataFrame, speakers: DataFrame) -> DataFrame:
+    """``profiles`` without those of ``speakers`` (speaker)."""
+    return profiles.join(speakers.select("speaker").distinct(), "speaker", "left_anti").select(*profiles.columns)
+
+
+def update_profiles(profiles: DataFrame, updates: DataFrame, now: Column | None = None) -> DataFrame:
+    """Profiles with new names and embeddings where ``updates`` (speaker, name, embedding) has them.
+
+    The sample count rises by one with an embedding, and an update of either sets the time last
+    seen, where the profiles have one.
+    """
     new = updates.select(F.col("speaker").alias("_s"), F.col("name").alias("_n"), F.col("embedding").alias("_e"))
     joined = profiles.join(new, profiles["speaker"] == new["_s"], "left")
-    return joined.select("speaker", F.coalesce("_n", "name").alias("name"), F.coalesce("_e", "embedding").alias("embedding"), (F.col("sample_count") + F.col("_e").isNotNull().cast("int")).alias("sample_count"))
+    changed = {"name": F.coalesce("_n", "name"), "embedding": F.coalesce("_e", "embedding"), "sample_count": F.col("sample_count") + F.col("_e").isNotNull().cast("int")}
+    if "last_seen" in profiles.columns:
+        changed["last_seen"] = F.when(F.col("_n").isNotNull() | F.col("_e").isNotNull(), F.current_timestamp() if now is None else now).otherwise(F.col("last_seen"))
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in profiles.columns])
 
 
 def voice_preferences(json: Column) -> Column:

@@ -193,13 +193,16 @@ def prd7_contains_ignoring_case(s, d):
 
 @query("SELECT source AS person, list_aggregate(list_slice(list_sort(list(doc_id)), 1, 5), 'string_agg', ',') AS sample FROM documents GROUP BY source")
 def prj2_sample_slice(s, d):
-    return table(s, d, "documents").groupBy(F.col("source").alias("person")).agg(F.concat_ws(",", F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5).cast("array<string>")).alias("sample"))
+    """The first five quotes of each person; a task keeps no more of them."""
+    rows = graph.first_of_block(table(s, d, "documents").select(F.col("source").alias("person"), "doc_id"), "person", "doc_id", 5)
+    return rows.groupBy("person").agg(F.concat_ws(",", F.array_sort(F.collect_list("doc_id")).cast("array<string>")).alias("sample"))
 
 
 # joins
 @query(f"WITH {GRAPH} SELECT person, quote_id, length(text) AS n FROM said JOIN quotes USING (quote_id)")
 def jn1_expand(s, d):
-    return said(s, d).join(quotes(s, d), "quote_id").select("person", "quote_id", F.length("text").cast("long").alias("n"))
+    hop = graph.expand(said(s, d).select("person").distinct(), said(s, d).toDF("_from", "_to"), quotes(s, d), "person", "_from", "_to", "quote_id")
+    return hop.select("person", "quote_id", F.length("text").cast("long").alias("n"))
 
 
 @query(f"WITH {GRAPH} SELECT quote_id, coalesce(person, 'Unknown') AS author, work FROM quotes LEFT JOIN said USING (quote_id) LEFT JOIN has_work USING (quote_id)")
@@ -439,12 +442,11 @@ def _asked(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY doc_id, term),
-f AS (SELECT count(*) AS docs, avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS mean FROM documents), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT item_id, term, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL)
-SELECT item_id AS query_id, doc_id AS quote_id, round(sum(asked * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 4) AS score FROM q JOIN p USING (term) JOIN df USING (term), f GROUP BY ALL""")
+@query(r"""WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), asked AS MATERIALIZED (SELECT item_id, term, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM asked) GROUP BY ALL), f AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT item_id AS query_id, doc_id AS quote_id, round(sum(asked * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 4) AS score FROM asked JOIN p USING (term) JOIN df USING (term), f GROUP BY ALL""")
 def ret1_bm25(s, d):
-    q = quotes(s, d)
+    q = spread(quotes(s, d))
     asked = _asked(s, d).select("query_id", F.explode(search.terms(F.col("query"))).alias("term"))
     return search.bm25(search.postings(q), asked, *search.corpus_facts(q)).select("query_id", "quote_id", F.round("score", 4).alias("score"))
 
@@ -459,10 +461,10 @@ def ret4_complete_quotes(s, d):
  row_number() OVER (PARTITION BY work ORDER BY quality_score DESC, length(text), quote_id) AS position FROM scored JOIN has_work w USING (quote_id) LEFT JOIN said USING (quote_id)
  WHERE quality_bucket IN ('high_quality', 'review') AND {_shown_sql()}) SELECT work, quote_id, author, score, position FROM r WHERE position <= 10""")
 def ret6_find_by_work(s, d):
-    shown = scored(s, d).filter(score.display_filter(F.col("text"), F.col("quality_bucket"), F.col("is_canonical")))
-    rows = shown.join(has_work(s, d), "quote_id").join(said(s, d), "quote_id", "left")
-    w = dedup.Window.partitionBy("work").orderBy(F.desc("quality_score"), F.length("text"), "quote_id")
-    return rows.select("work", "quote_id", F.coalesce("person", F.lit("Unknown")).alias("author"), F.col("quality_score").alias("score"), F.row_number().over(w).alias("position")).filter("position <= 10")
+    """Each work asked for by its whole name, in capitals."""
+    asked = has_work(s, d).select(F.col("work").alias("query_id"), F.upper("work").alias("title")).distinct()
+    found = search.find_by_work(scored(s, d), said(s, d), has_work(s, d), asked, whole=True)
+    return found.select("work", "quote_id", "author", "score", "position")
 
 
 @query(f"WITH {SCORED} SELECT quote_id, person AS author FROM scored JOIN said USING (quote_id) WHERE quality_bucket = 'high_quality' ORDER BY md5(quote_id::VARCHAR || '|0'), quote_id, author LIMIT 5")
@@ -502,13 +504,6 @@ def jn8_nearest(s, d):
     return vectors.nearest(table(s, d, "embeddings"), 11).select("id", F.col("position"), F.round("similarity", 4).alias("similarity"))
 
 
-@query()
-def dup7_review_pairs(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("quote_id"), "embedding", F.col("label").cast("string").alias("author"))
-    pairs = vectors.review_pairs(e.join(quotes(s, d).select("quote_id", "text"), "quote_id", "left").fillna({"text": ""}), 0.5)
-    return materialize(pairs, "review-pairs")
-
-
 # pages
 _CATEGORIES = ("[[Category:American poets]] [[Category:1900 births]]", "[[Category:Novels by Ann Example|Key]]", "[[Category:Living people]]")
 _CATEGORY_SQL = "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CATEGORIES)) + " ELSE '' END"

@@ -240,13 +240,6 @@ def srt2_limit_before_filter(s, d):
     return quotes(s, d).join(graph.checked_broadcast(top), "quote_id").filter(F.length("text") >= 200).select("query_id", "quote_id")
 
 
-@query("SELECT min(doc_id) AS quote_id, trim(lower(text))[1:120] AS head, trim(lower(source)) AS author FROM documents WHERE trim(text) <> '' GROUP BY ALL")
-def set2_distinct_results(s, d):
-    rows = table(s, d, "documents").select(F.lit(1).alias("query_id"), F.trim("text").alias("quote"), F.col("source").alias("author"), F.col("doc_id").alias("position"))
-    kept = rows.filter("quote <> ''").groupBy(F.substring(F.lower("quote"), 1, 120).alias("head"), F.trim(F.lower("author")).alias("author")).agg(F.min("position").alias("quote_id"))
-    return kept.select("quote_id", "head", "author")
-
-
 @query("SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM labels WHERE toxic = 1) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def set1_union_and_difference(s, d):
     rows = table(s, d, "labels")
@@ -266,15 +259,9 @@ def txt14_layered_form(s, d):
     return quotes(s, d).select("quote_id", text.layered_form(F.col("text")).alias("form"))
 
 
-@query(r"SELECT doc_id AS quote_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS tokens FROM documents WHERE regexp_full_match(text, '[\x01-\x7f\n]*')")
+@query(r"SELECT doc_id AS quote_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}]')) AS tokens FROM documents")
 def txt20_tokens(s, d):
-    ascii_only = quotes(s, d).filter(F.col("text").rlike(r"\A[\x01-\x7f]*\z"))
-    return ascii_only.select("quote_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
-
-
-@query()
-def txt20_tokens_whole(s, d):
-    """Of every document; a null text has none. No SQL: character classes differ beyond ASCII."""
+    """Of every document; a null text has none."""
     return quotes(s, d).select("quote_id", F.coalesce(F.size(text.tokens(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("tokens"))
 
 
@@ -381,7 +368,7 @@ def dup9_ingest_dedup(s, d):
 def dup8_stream_dedup(s, d):
     """The documents as a stream: cleaned, the first of each normal form kept, written and read."""
     source, out = fresh_path(s, "stream-in"), fresh_path(s, "stream-out")
-    dirtied(s, d).withColumn("ts", F.timestamp_seconds(F.col("quote_id") % 60)).select("quote_id", "text", "ts").write.parquet(source)
+    dirtied(s, d).withColumn("ts", F.timestamp_seconds(86400 + F.col("quote_id") % 60)).select("quote_id", "text", "ts").write.parquet(source)
     stream = s.readStream.schema("quote_id long, text string, ts timestamp").parquet(source)
     run = ingest.dedup_stream(ingest.clean_stream(stream, decode=False)).select("quote_hash").writeStream.format("parquet").option("checkpointLocation", fresh_path(s, "stream-state")).outputMode("append").trigger(availableNow=True).start(out)
     run.awaitTermination()

@@ -1,7 +1,13 @@
+import difflib
+import os
+import random
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from quotegraph.functions import dialogue, extract, score, text
-from quotegraph.operators import dedup, graph, linking, search, sinks, vectors
+from quotegraph.operators import conversation, dedup, graph, linking, search, sinks, vectors
 from quotegraph.operators.components import connected_components
 from quotegraph.sources import pages
 
@@ -225,7 +231,7 @@ def test_tokens_of_every_document_match_brute_force(spark, tmp_path):
             inside = word
         return n
 
-    got = {r["quote_id"]: r["tokens"] for r in QUERIES["txt20_tokens_whole"](spark, graph_tables(spark, tmp_path, texts)).collect()}
+    got = {r["quote_id"]: r["tokens"] for r in QUERIES["txt20_tokens"](spark, graph_tables(spark, tmp_path, texts)).collect()}
     assert got == {i: count(t) for i, t in enumerate(texts)}
 
 
@@ -267,3 +273,95 @@ def test_ingest_dedup_misses_no_pair(spark):
     hot = list(enumerate([*texts, texts[7].replace(middles[7], "z" + middles[7][1:])]))
     got = {r["quote_id"] for r in dedup.ingest_dedup(spark.createDataFrame(hot, "quote_id long, text string")).collect()}
     assert got == set(range(520))
+
+
+def test_each_pattern_runs_once_a_row(spark):
+    """Plans hold each pattern once, however often its outcome is used."""
+    rows = spark.createDataFrame([("a [1] text (Page 3)",)], "t string")
+    for column, pattern, times in ((text.in_place_clean(F.col("t")), "citation needed", 1), (text.dedup_form(F.col("t")), "{2,}", 1), (extract.quoted_title(F.col("t")), "as quoted in", 2)):
+        plan = rows.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(pattern) == times, pattern
+
+
+def test_cleaning_matches_the_rules_one_by_one(spark):
+    """The guards before two patterns never change what the patterns do."""
+    rng, parts = random.Random(3), ["Read more", "see MORE", "Share", ".", ":", " ", "\n", "(", ")", "p. 12", "vol. 3", "chapter IV", "page", "word", "Kopy", "—", "&amp;", "[3]", "....", "“", "'", "\u00a0", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    now = F.col("t")
+    for name, pattern, to in (("HTML_JUNK", text.HTML_JUNK, ""), ("WIKI_BRACKETS", text.WIKI_BRACKETS, ""), ("UI_JUNK", text.UI_JUNK, ""), ("SOURCE_METADATA", text.SOURCE_METADATA, ""), ("EXCESSIVE_PUNCT", text.EXCESSIVE_PUNCT, "…")):
+        df = df.withColumn(name, now.rlike(pattern)).withColumn("_" + name, F.regexp_replace(now, pattern, to))
+        now = F.col("_" + name)
+    names = ["HTML_JUNK", "WIKI_BRACKETS", "UI_JUNK", "SOURCE_METADATA", "EXCESSIVE_PUNCT"]
+    for r in df.withColumn("c", text.in_place_clean(F.col("t"))).collect():
+        assert r["c"]["rules"] == [n for n in names if r[n]], r["t"]
+        bare = re.sub(text.S + "+", " ", r["_EXCESSIVE_PUNCT"].replace("\u00a0", " "))
+        bare = bare.strip(text.SPACES).lstrip(text.OPENING_MARKS).rstrip(text.CLOSING_MARKS).strip(text.SPACES)
+        assert r["c"]["text"] == (r["t"] if r["c"]["confidence"] == 0 else bare), r["t"]
+
+
+def test_forms_and_ratios_match_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé①ﬁ") for _ in range(rng.randrange(1, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(1, 9))), " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(80)] + [(90, "", "x"), (91, "", "")]
+    got = spark.createDataFrame(rows, "i long, a string, b string").select("i", "a", "b", text.nfkc(F.col("a")).alias("n"), score.sequence_ratio("a", "b").alias("r"), score.match_rank(F.col("a"), F.col("b"), F.lit(2.0)).alias("m")).collect()
+    for r in got:
+        assert r["n"] == unicodedata.normalize("NFKC", r["a"]) and r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()
+        a, b = r["a"].lower(), r["b"].lower()
+        ratio = min(len(a), len(b)) / max(len(a), len(b)) if max(len(a), len(b)) else 0.0
+        prefix = len(os.path.commonprefix([a, b])) / len(a) if a else 0.0
+        assert abs(r["m"] - (1.0 + 0.2 * ratio + 0.15 * prefix + 0.15 * difflib.SequenceMatcher(None, a, b).ratio())) < 1e-9
+
+
+def test_a_stored_index_is_made_found_replaced_and_dropped(spark, tmp_path):
+    quotes = spark.createDataFrame([(i, f"word{i % 7} and the other {'rare' if i == 5 else 'thing'}") for i in range(40)], "quote_id long, text string")
+    index = search.StoredIndex(spark, str(tmp_path / "index"))
+    assert not index.exists()
+    index.create(quotes.limit(3))
+    assert index.exists() and index.facts()[0] == 3
+    index.create(quotes)
+    assert index.facts()[0] == 3
+    index.create(quotes, replace=True)
+    assert index.facts()[0] == 40 and index.version() == "v000000001"
+    asked = spark.createDataFrame([(1, "rare"), (1, "word5"), (2, "none")], "query_id long, term string")
+    stored, direct = (sorted((r["query_id"], r["quote_id"], round(r["score"], 9)) for r in x.collect()) for x in (index.score(asked), search.bm25(search.postings(quotes), asked, *search.corpus_facts(quotes))))
+    assert stored == direct and stored[0][:2] == (1, 5)
+    index.drop()
+    assert not index.exists()
+
+
+def test_voice_queries_are_routed_searched_and_attributed(spark):
+    quotes = spark.createDataFrame([(1, "To be or not to be, that is the question of this night", 7, "high_quality", None), (2, "Something else that is long enough to be shown here", 5, "review", None)], "quote_id long, text string, quality_score int, quality_bucket string, is_canonical boolean")
+    said = spark.createDataFrame([("Hamlet", 1)], "person string, quote_id long")
+    works = spark.createDataFrame([("Hamlet", 1)], "work string, quote_id long")
+    asked = spark.createDataFrame([(1, "to be or not to be", "Ann"), (2, "quotes by the poet", None), (3, "ab", None), (4, "zzz qqq", None)], "query_id long, query string, speaker string")
+    got = {r["query_id"]: r for r in conversation.answer_voice(asked, quotes, said, works).collect()}
+    assert got[1]["response_text"] == '"To be or not to be, that is the question of this night"\n\n— William Shakespeare, from *Hamlet*\n\n*Personalized for Ann*'
+    assert got[1]["audio_text"].startswith("To be") and got[2]["intent"] == "clarification" and got[2]["audio_text"] is None
+    assert got[2]["response_text"].startswith("**Which poet") and got[3]["response_text"].startswith("**Query too short.**")
+    assert got[4]["response_text"] == got[4]["audio_text"] == "I couldn't find a relevant quote for your question."
+
+
+def test_votes_match_brute_force(spark):
+    """Two signals of three, for all pairs of a few forms."""
+    rng = random.Random(8)
+    words = "alpha bravo charlie delta echo foxtrot golf hotel".split()
+    forms = [(i, " ".join(rng.sample(words, rng.randrange(4, 9))), sorted(rng.sample(words, 3))) for i in range(14)]
+    forms += [(20 + i, f.replace("o", "0", 1), r) for i, f, r in forms[:6]]
+    table = spark.createDataFrame(forms, "quote_id long, form string, rare array<string>")
+    pairs = spark.createDataFrame([(a[0], b[0]) for a in forms for b in forms if a[0] < b[0]], "a long, b long")
+    own = {i: (f, set(f.split()), set(r)) for i, f, r in forms}
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    share = lambda a, b: len(a & b) / len(a | b)
+    for r in dedup.pair_signals(pairs, table, 0.6).collect():
+        (fa, wa, ra), (fb, wb, rb) = own[r["a"]], own[r["b"]]
+        similar, rare, near = share(wa, wb) >= 0.6, share(ra, rb) >= 0.6, edit(fa, fb) >= 0.6
+        assert r["duplicate"] == (sum((similar, rare, near and (similar or rare))) >= 2)
