@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quotegraph.llm import bpe, exact, langid, media, mixing, quality, queries, sharding, simhash, tables, urlfilter, warc
+from quotegraph.llm import bpe, exact, langid, media, mixing, quality, queries, sharding, simhash, urlfilter, warc
+from quotegraph.llm import tables as llm_tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, fp string, digest string, size string"
 
@@ -221,7 +222,7 @@ def test_slices_and_special_tokens_keep_their_rows(library):
     encoder, seen = bpe.Encoder(queries.vocabulary_path()), 0
     import pyarrow as pa
 
-    for at, part in tables.text_slices(pa.array(texts, pa.string()), 40):
+    for at, part in llm_tables.text_slices(pa.array(texts, pa.string()), 40):
         e = encoder.encode_texts(part)
         for text, n, ids, decoded in zip(part, e.n_tokens, e.ids, e.decoded.texts()):
             want = library.encode(text or "", add_special_tokens=False).ids
@@ -232,8 +233,8 @@ def test_slices_and_special_tokens_keep_their_rows(library):
 
 def test_the_most_frequent_fit_a_bound(spark):
     counts = spark.createDataFrame([(f"w{i}", 20_000 // (i + 1)) for i in range(100)] + [("rare", 7)], "word string, n long")
-    assert len(tables.most_frequent(counts, 8, 1000)) == 100
-    some = tables.most_frequent(counts, 8, 40)
+    assert len(llm_tables.most_frequent(counts, 8, 1000)) == 100
+    some = llm_tables.most_frequent(counts, 8, 40)
     assert 0 < len(some) <= 40 and {w for w, _ in some} == {f"w{i}" for i in range(len(some))}
 
 
@@ -573,3 +574,84 @@ def test_pipeline_stages_take_effect(spark, tmp_path, library):
     assert not ids & set(range(200, 220)) and ids <= set(range(150))
     text = dict((r[0], r[1]) for r in rows)
     assert all(r["n_tokens"] == len(library.encode(text[r["doc_id"]], add_special_tokens=False).ids) for r in out)
+
+
+# the registered queries themselves
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    rng, where = random.Random(20), str(tmp_path_factory.mktemp("tables"))
+    say = lambda n: " ".join(rng.choice(["ship", "water", "house", "und", "der", "près"]) + rng.choice(["", ",", "s"]) for _ in range(n))
+    rows = [(i, say(30 + i % 9), rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), 1) for i in range(70)]
+    rows += [(100, rows[3][1].replace(" ", "\t "), "en", "a", 1), (101, rows[3][1] + " x", "en", "a", 1), (102, None, "en", "b", 0), (103, "", None, "b", 0), (104, "12 !", "en", "a", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(i, i % 3, f"http://a{i % 4}.example.{'net' if i % 2 else 'com'}/en/{i}", None if i == 5 else "<p>" + say(20 + i % 2 * 60)) for i in range(40)], "page_id long, extra int, url string, html string").write.parquet(f"{where}/pages.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where, {r[0]: r for r in rows}
+
+
+RESULTS = {
+    "op1_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op2_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op3_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op4_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op5_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op6_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op7_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op8_urlfilter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op9_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+@pytest.mark.parametrize("name", RESULTS)
+def test_registered_queries_return_their_columns(spark, library, tables, name):
+    where, docs = tables
+    df = queries.QUERIES[name](spark, where)
+    names = [c.split(" ") for c in RESULTS[name].split(", ")]
+    assert [list(x) for x in df.dtypes][: len(names)] == names
+    got = {r[0]: r for r in df.collect()}
+    assert len(got) == (40 if names[0][0] == "page_id" else len(docs))
+    sha, crc = (lambda t: hashlib.sha256(t.encode()).hexdigest()), (lambda i: zlib.crc32(str(i).encode()))
+    for i, r in got.items():
+        text = (docs[i][1] or "") if i in docs else ""
+        if name == "op1_simhash":
+            assert r["fingerprint"] == f"{brute_fingerprint(text):016x}" and r["component_id"] <= i
+        elif name == "op2_exact_dedup":
+            assert r["kept"] == (i not in (100, 103)) and r["keep_id"] == {100: 3, 103: 102}.get(i, i) and r["group_size"] == 1 + (i in (3, 100, 102, 103))
+        elif name == "op3_bpe":
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+        elif name == "op4_langid":
+            assert r["held_out"] == (crc(i) % 4 == 2) and (r["lang_pred"] == "und") == (i in (102, 103, 104)) and 0 <= r["score"] <= 1
+        elif name == "op6_mixing":
+            assert r["size"] == len(text.split()) and r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"]
+        elif name == "op7_sharding":
+            assert r["size"] == len(text.encode()) + 1 and r["text_crc32"] == zlib.crc32(text.encode()) and r["law"] == "rows" and r["grown_shard"] is None and 0 <= r["shard"] < 16
+        elif name == "op8_urlfilter":
+            assert r["rule"] == (("example.net/en/" if i % 2 else None)) and r["verdict"] in ("allow", "block") and r["path"] == f"/en/{i}"
+        elif name == "op9_media":
+            assert r["n_bytes"] == len(text.encode()) and r["payload_sha256"] == hashlib.sha256(media.padded(text.encode())).hexdigest()
+        elif name == "op10_quality":
+            assert r["held_out"] == (crc(i) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+CLASHES = ("_file _row _f _r _rn _id _d _s _w _h _c _b copies score digest set h n i c keeper lead part fp keep_id kept group_size size draw mass target source_size _copies _turn _again _same token word words tokens path records payload ids n_tokens media times codes held_out").split()
+
+
+def test_stages_take_clashing_columns_odd_rows_and_empty_tables(spark, tmp_path):
+    """Every column that operators use within is one of the table's own; nulls, ties, repeats, a very long text."""
+    import corpus_pipeline
+
+    rows = [(r[0], r[1], "s" if i % 2 else None) for i, r in enumerate(ODD)] + [(50 + i, f"plain words number {i} in a row of some length " * 3, "t") for i in range(30)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in [*CLASHES, "a.b"])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(50, 80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (rows, []):
+        docs = spark.createDataFrame([(*r, *[f"{c}{k}" for c in [*CLASHES, "a.b"]]) for k, r in enumerate(table)], schema)
+        for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if at == len(corpus_pipeline.STAGES) - 1:
+                assert out.count() == len(table) and "ids" in out.columns
+                continue
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert bool(got) == bool(table) and all(all(r[c].startswith(c) and r[c][len(c) :] == r["_file"][5:] for c in CLASHES) for r in got), name
