@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a dimension that may be broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON text) of a dimension that may be broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, of ``size`` bytes together."""
+    first = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("_size"))
+    many, held = first.agg(F.count(F.lit(1)), F.sum("_size")).first()
+    return F.broadcast(df) if many <= rows and (held or 0) <= size else df
 
 
 def keyset_page(df: DataFrame, key: str, last, n: int) -> DataFrame:

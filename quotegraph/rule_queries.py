@@ -217,8 +217,9 @@ def win5_cluster_numbers(s, d):
     """Numbers of groups in the order of their first ids: one row a group is ranked, not all rows."""
     hashed = quotes(s, d).select("quote_id", F.sha2("text", 256).alias("h"))
     firsts = materialize(hashed.groupBy("h").agg(F.min("quote_id").alias("first")), "cluster-firsts")
-    width = max(1, firsts.count() // 64)
-    spread = firsts.withColumn("_b", F.floor(F.col("first") / width))
+    low, high = firsts.agg(F.min("first"), F.max("first")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) // 4096)  # 4,096 ranges of ids or some more
+    spread = firsts.withColumn("_b", F.floor((F.col("first") - F.lit(low)) / width))
     before = spread.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
     ranked = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("first"))).join(before, "_b")
     return hashed.join(ranked.select("h", (F.col("_at") + F.col("_r")).alias("cluster")), "h").select("quote_id", "cluster")
