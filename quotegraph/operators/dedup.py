@@ -40,10 +40,11 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def edit_at_least(a: Column, b: Column, threshold: float) -> Column:
-    """Whether :func:`edit_similarity` reaches ``threshold``; lengths are tried first."""
+    """Whether :func:`edit_similarity` reaches ``threshold``; lengths are tried first, and distances only as far as they may go."""
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    near = shortest >= longest * threshold
-    return F.when(near, edit_similarity(a, b) >= threshold).otherwise(False)
+    most = F.floor(longest * (1.0 - threshold) + 1e-6).cast("int")
+    near = bind(F.call_function("levenshtein", a, b, most), lambda d: (d >= 0) & (F.when(longest == 0, 1.0).otherwise(1.0 - d / F.greatest(longest, F.lit(1))) >= threshold))
+    return F.when(shortest >= longest * threshold, near).otherwise(False)
 
 
 def rare_overlap(a: Column, b: Column) -> Column:
@@ -137,8 +138,8 @@ def block_pairs(keyed: DataFrame, id_col: str = "quote_id", least: int = LEAST_B
     return met.select("a", "b").distinct()
 
 
-def near_pairs(quotes: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Pairs ``(a, b)`` that share a block and whose words or characters agree to ``threshold``.
+def near_pairs(quotes: DataFrame, threshold: float = 0.90, edits: bool = True) -> DataFrame:
+    """Pairs ``(a, b)`` that share a block and whose words, or with ``edits`` characters, agree to ``threshold``.
 
     Sizes of word sets go with the keys and are tried before the sets; sets, of 64-bit hashes, are
     tried before characters. Sets and forms aren't carried through the pair shuffle: ids are paired
@@ -146,12 +147,14 @@ def near_pairs(quotes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """
     own = bind(dedup_form(F.col("text")), lambda form: F.when(F.length(form) >= LEAST_LENGTH, F.struct(form.alias("form"), F.array_distinct(F.transform(word_list(form), lambda w: F.xxhash64(w))).alias("words"), blocking_keys(form).alias("keys"))))
     forms = materialize(spread(quotes.select("quote_id", "text")).select("quote_id", own.alias("f")).filter("f IS NOT NULL").select("quote_id", "f.*"), "dedup-forms")
-    gate = threshold - 0.15
+    gate = threshold - 0.15 if edits else threshold
     sizes = forms.select("quote_id", F.size("words").alias("n"), F.explode("keys").alias("key"))
     close = materialize(block_pairs(sizes, size="n", ratio=gate), "dedup-close")
     side = lambda c: forms.select(F.col("quote_id").alias(c), F.col("form").alias(f"form_{c}"), F.col("words").alias(f"words_{c}"))
     scored = close.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", jaccard(F.col("words_a"), F.col("words_b"))).filter(F.col("jaccard") >= gate)
-    return scored.filter((F.col("jaccard") >= threshold) | edit_at_least(F.col("form_a"), F.col("form_b"), threshold)).select("a", "b", "jaccard")
+    if edits:
+        scored = scored.filter((F.col("jaccard") >= threshold) | edit_at_least(F.col("form_a"), F.col("form_b"), threshold))
+    return scored.select("a", "b", "jaccard")
 
 
 def canonical_order(has_person: Column, has_work: Column, quality_score: Column, text: Column) -> list[Column]:

@@ -262,7 +262,7 @@ _JACCARD = """sets AS (SELECT quote_id, list_distinct(words) AS w, form FROM for
 
 @query(f"WITH {KEYS}, {_JACCARD} SELECT a, b, round(i / (t - i), 4) AS jaccard FROM close WHERE i / (t - i) >= 0.9")
 def sim1_jaccard_pairs(s, d):
-    return dedup.near_pairs(quotes(s, d)).filter("jaccard >= 0.9").select("a", "b", F.round("jaccard", 4).alias("jaccard"))
+    return dedup.near_pairs(quotes(s, d), edits=False).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
 @query(f"""WITH RECURSIVE {KEYS}, {_JACCARD}, hits AS (SELECT a, b FROM close WHERE i / (t - i) >= 0.9), edges AS (SELECT a, b FROM hits UNION SELECT b, a FROM hits),
