@@ -226,6 +226,23 @@ def test_best_quotes_are_those_of_all_scores(spark, monkeypatch):
     assert {t for q, t in near if q == "q0"} >= {r["term"] for r in asked.filter("query_id = 'q0'").collect()} & set(" ".join(texts).split())
 
 
+def test_bounds_of_shared_members_never_cut(spark):
+    """Bits bound what sets share from above, and bands of edit distances change no outcome."""
+    rng = random.Random(3)
+    sets = [rng.sample(range(3000), rng.randint(0, 400)) for _ in range(12)]
+    rows = [(i, j, [*a], [*a[: len(a) // 2], *b] if i % 2 else [*b]) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    table = spark.createDataFrame([(i, j, a, sorted(set(b))) for i, j, a, b in rows], "i int, j int, a array<long>, b array<long>")
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    most = dedup.most_shared(F.size("a"), dedup.set_bits(hashed("a"), 4), dedup.set_bits(hashed("b"), 4))
+    found = table.select("i", "j", "a", "b", most.alias("most")).collect()
+    assert all(len(r["a"]) >= r["most"] >= len(set(r["a"]) & set(r["b"])) for r in found)
+    assert any(r["most"] < len(r["a"]) for r in found) and all(r["most"] == len(r["a"]) for r in found if r["i"] == r["j"])
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    pairs = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    one, other = (dedup.edit_at_least(F.col("x"), F.col("y"), 0.5, bands) for bands in ((), (2, 8)))
+    assert pairs.filter(one).count() > len(texts) and not pairs.filter(one != other).count()
+
+
 def test_works_are_linked_in_whole_texts(spark, tmp_path):
     from quotegraph.rule_queries import QUERIES
 
