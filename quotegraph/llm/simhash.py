@@ -19,13 +19,13 @@ Fingerprints (64 bits) link at ``radius`` or fewer differing bits. The search is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegraph.llm.tables import BROADCAST_ROWS, located, most_frequent, own_columns, place, text_slices, without
@@ -40,6 +40,8 @@ LEAF, MAX_DEPTH = 192, 17
 BROADCAST_SHINGLES, BROADCAST_PAIRS, SLICE = 2_000_000, 500_000, 1 << 21
 #: Near-dedup: words of a shingle, least Jaccard similarity; shingles that come last in the order of prefixes, and from how many rows on.
 NEAR_SHINGLE, NEAR_SIMILARITY, COMMON_SHINGLES, COMMON_SEEN = 5, 0.8, 100_000, 16
+#: Near-dedup: shingles of two sets for which one more must be shared first.
+FIRST_SHARED = 400
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -345,7 +347,7 @@ def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
-    """``(h, set, n)``: the first shingles of the set of each of ``texts`` (text), ``n`` in all.
+    """``(h, set, n, at)``: the first shingles of the set of each of ``texts`` (text), ``n`` in all, and the place of each from 0.
 
     So many that sets of this Jaccard similarity share one. ``common`` has shingles that come last,
     and about how often each occurs; they only set an order, so what they are loses no pair.
@@ -368,9 +370,10 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle:
                         h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
                     firsts.append(h[: _prefix(n, similarity)])
                 many = [len(x) for x in firsts[1:]]
-                yield pa.RecordBatch.from_pydict({"h": np.concatenate(firsts), "set": np.repeat(_signed(names), many), "n": np.repeat(np.array(sizes, np.int32), many)})
+                places = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in many)])
+                yield pa.RecordBatch.from_pydict({"h": np.concatenate(firsts), "set": np.repeat(_signed(names), many), "n": np.repeat(np.array(sizes, np.int32), many), "at": places})
 
-    return texts.mapInArrow(run, "h long, set long, n int")
+    return texts.mapInArrow(run, "h long, set long, n int, at int")
 
 
 def _prefix(n: int, similarity: float) -> int:
@@ -378,6 +381,26 @@ def _prefix(n: int, similarity: float) -> int:
     return n - ceil(similarity * n - 1e-9) + 1
 
 
+def _asked(n: Column, m: Column, similarity: float) -> tuple[Column, Column]:
+    """What sets of ``n`` and ``m`` shingles share at least if they are similar, and how many of it to look for among their first ones.
+
+    One suffices; of large sets some more are asked for, so that a passage alone costs no comparison.
+    """
+    least = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
+    among = least - F.ceil(similarity * F.greatest(n, m) - 1e-9) + 1  # of the shared ones that prefixes hold
+    return least, F.greatest(F.lit(1), F.least(among, 1 + F.floor((n + m) / FIRST_SHARED)))
+
+
+def _may_meet(n: Column, i: Column, m: Column, j: Column, similarity: float) -> Column:
+    """Whether a shingle at places ``i`` and ``j`` of sets of ``n`` and ``m`` counts towards what a similar pair shares first.
+
+    Similar sets share ``least`` shingles or more, so k of them among the first n - least + k and
+    m - least + k of each. They share no more than those before one, itself, and those behind it.
+    """
+    least, k = _asked(n, m, similarity)
+    return (F.least(n, m) >= least) & (n - i + k > least) & (m - j + k > least) & (F.least(i, j) + F.least(n - i, m - j) >= least)
+
+
 def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -> DataFrame:
     """The distinct ``pairs`` (src, dst) of sets whose exact Jaccard similarity reaches the bound."""
     pairs = materialize(pairs, "near-pairs")
@@ -392,7 +415,7 @@ def _similar(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (h, set, n) whose shingle another set has too. Hashes alone are counted; most are seen once and go."""
+    """The rows of ``keyed`` (h, set, n, at) whose shingle another set has too. Hashes alone are counted; most are seen once and go."""
     more = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("h"), "near-shared")
     blocks = materialize(keyed.join(F.broadcast(more) if more.count() <= BROADCAST_SHINGLES else more, "h", "left_semi"), "near-blocks")
     forget(more)
@@ -407,13 +430,15 @@ def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.n
     bits, are compared exactly. So far apart as ``similarity`` allows, fingerprints lie where no
     tree prunes (some 10 of 64 bits at 0.8), so prefix filtering finds the rest: in any one order of
     all shingles, two sets of Jaccard similarity s share a shingle among the first
-    n - ceil(s n) + 1 of each. Common shingles come last, so a common line makes no block. Each set
-    is compared with the first member that it meets most often in its blocks; then those pairs of a
-    block that aren't yet in one component.
-
-    Pairs that can't be similar aren't compared: of the two sets, one has its last first shingle no
-    later than the other. Each of its first shingles that the other set has is a first one there
-    too, so they share no more than c, the first shingles that both have, and all of its others.
+    n - ceil(s n) + 1 of each. Common shingles come last, so a common line makes no block. In a block
+    each set is compared with a leader of its size and the one of the size below: the set that has
+    the shingle first, so has the fewest of its own before it. Of a large group of near copies that
+    is one near the middle, which most others reach, so a group is linked by a few pairs a member
+    even where most of its pairs are not similar. Then those pairs of a block that aren't yet in one
+    component are compared; the members of its largest part don't meet each other.
+
+    Pairs that can't be similar aren't compared (``_may_meet``): a pair is met only within the first
+    shingles that its two sizes ask for, some n/9 for equal sizes where prefixes have n/5.
     """
     first = materialize(sets.groupBy("fp").agg(F.min("set").alias("first")), "near-points")
     close = hamming_links(first.select("fp"), radius)
@@ -422,25 +447,27 @@ def similar_links(sets: DataFrame, texts: _Texts, common: tuple[np.ndarray, np.n
     near = close.join(ends[0], "src").join(ends[1], "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
 
     blocks = _blocks(materialize(_prefixes(texts.one_each(), common, shingle, similarity), "near-prefixes"))
-    least = lambda n, m: (n + m) * (similarity / (1 + similarity)) - 1e-6  # shared shingles of a similar pair
-    fits = lambda n, m: F.least(n, m) >= least(n, m)
-    needed = lambda n, m: least(n, m) - F.ceil(similarity * F.greatest(n, m) - 1e-9) + 1  # of them among the first ones
-    lead = materialize(blocks.groupBy("h").agg(F.min(F.struct("set", "n")).alias("lead")), "near-leads")
-    n, m = F.col("n"), F.col("m")
-    met = blocks.join(lead, "h").select("set", "n", F.col("lead.set").alias("_lead"), F.col("lead.n").alias("m")).filter((F.col("set") != F.col("_lead")) & fits(n, m))
-    met = met.groupBy("set", "n", "_lead", "m").agg(F.count(F.lit(1)).alias("c")).filter(2 * F.col("c") >= needed(n, m))  # not all that they share
-    met = met.groupBy("set").agg(F.max_by("_lead", F.struct("c", "_lead")).alias("_lead")).select(F.col("_lead").alias("src"), F.col("set").alias("dst"))
+    sized = blocks.withColumn("_size", F.floor(F.log(F.col("n").cast("double")) / -log(min(similarity, 0.99))).cast("int"))  # similar sets are of one size or neighbours
+    lead = materialize(sized.groupBy("h", "_size").agg(F.min(F.struct("at", "set", "n")).alias("lead")), "near-leads")
+    n, i, m, j = (F.col(c) for c in ("n", "at", "m", "_at"))
+    leads = lead.select("h", F.explode(F.array("_size", F.col("_size") + 1)).alias("_size"), F.col("lead.set").alias("_lead"), F.col("lead.n").alias("m"), F.col("lead.at").alias("_at"))
+    met = sized.join(leads, ["h", "_size"]).filter((F.col("set") != F.col("_lead")) & _may_meet(n, i, m, j, similarity))
+    met = met.groupBy(F.col("_lead").alias("src"), F.col("set").alias("dst"), "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    met = met.filter(2 * F.col("c") >= _asked(n, m, similarity)[1]).select("src", "dst")  # not all that they share
     star = _similar(same.unionByName(near).unionByName(met).distinct(), texts, shingle, similarity)
 
     parts = materialize(connected_components(star), "near-parts")
-    placed = materialize(blocks.join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", F.coalesce("component", "set").alias("part")), "near-placed")
-    split = placed.groupBy("h").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low <> _high").select("h")
-    open_ = materialize(placed.join(split, "h", "left_semi"), "near-open")
+    placed = materialize(blocks.join(parts, blocks["set"] == parts["node"], "left").select("h", "set", "n", "at", F.coalesce("component", "set").alias("part")), "near-placed")
+    tally = placed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("_many"))
+    split = tally.groupBy("h").agg(F.max_by("part", F.struct("_many", "part")).alias("_main"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1")
+    open_ = materialize(placed.join(split, "h").select("h", "set", "n", "at", "part", (F.col("part") == F.col("_main")).alias("main")), "near-open")
     for done in (placed, blocks, lead, first):
         forget(done)
-    a, b = open_.toDF("h", "src", "n", "_p"), open_.toDF("h", "dst", "m", "_q")
-    met = a.join(b, (a["h"] == b["h"]) & (a["src"] < b["dst"]) & (a["_p"] != b["_q"]) & fits(n, m))
-    rest = met.groupBy("src", "dst", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= needed(n, m)).select("src", "dst")
+    a = open_.filter("NOT main").drop("main").toDF("h", "src", "n", "at", "_p")
+    b = open_.toDF("h", "dst", "m", "_at", "_q", "_main")
+    rest = a.join(b, (a["h"] == b["h"]) & (a["_p"] != b["_q"]) & (b["_main"] | (a["src"] < b["dst"])) & _may_meet(n, i, m, j, similarity))
+    rest = rest.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count(F.lit(1)).alias("c"), F.min(_asked(n, m, similarity)[1]).alias("k"))
+    rest = rest.filter("c >= k").select("src", "dst")
     return star.unionByName(_similar(rest, texts, shingle, similarity))
 
 

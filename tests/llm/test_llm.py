@@ -120,6 +120,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert near > 300 and kept == {find(i) for i in sets}
 
 
+def test_a_large_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """Most members of a group are too far from each other; what is compared grows with its members, and the groups are those of all pairs."""
+    rng = random.Random(11)
+    word = lambda: "w" + str(rng.randrange(100_000))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(2, 148), rng.randrange(6)):
+            words[at] = word()
+        if i % 8 == 0:  # others are shorter
+            words = words[rng.randrange(20) : 150 - rng.randrange(20)]
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                near += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    compared, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    kept = {r["doc_id"] for r in simhash.near_dedup(documents(spark, rows)).collect()}
+    assert kept == {find(i) for i in sets} and 1 < len(kept) < 200
+    assert near < len(rows) * (len(rows) - 1) / 4 and sum(compared) < 20 * len(rows), (near, compared)
+
+
 def test_near_dedup_goes_by_rows_not_ids(spark):
     """Two texts under one id both stay; near copies without an id leave one."""
     one, two, three = (" ".join(f"{mark}{i}" for i in range(100)) for mark in "abc")
