@@ -243,6 +243,43 @@ def test_bounds_of_shared_members_never_cut(spark):
     assert pairs.filter(one).count() > len(texts) and not pairs.filter(one != other).count()
 
 
+def test_blocks_vote_as_pairs_do(spark, monkeypatch):
+    """All pairs of blocks get the signals of a vote on pairs; texts that a walk by words shows to be near need no table of distances."""
+    from quotegraph.operators import votes
+
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 13))) for _ in range(40)]
+    rows, base = [], []
+    for _ in range(160):  # copies of few texts, changed by words and letters, between equal starts and ends
+        base = [rng.choice(names) for _ in range(rng.randint(3, 40))] if rng.random() < 0.2 or not base else base
+        words = [rng.choice(names) if rng.random() < rng.choice((0, 0.1, 0.3)) else w for w in base if rng.random() < 0.97]
+        rows.append(" ".join(["one", "two", "three", "four", "five"][: rng.choice((0, 5, 5))] + words + ["six", "seven", "eight", "nine", "ten"][: rng.choice((0, 5))]))
+    rows += [f"a start that all share {i:x} {i * 7:o} {i * 31:x}" for i in range(dedup.MOST_BLOCK + 1)] + ["", "short", "x" * 40, "only two" * 9]
+    forms = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "quote_id string, form string").repartition(5)
+    rare = F.array_distinct(F.filter(dedup.word_list(F.col("form")), lambda w: F.length(w) >= 9))
+    pairs = dedup.block_pairs(forms.select("quote_id", F.explode(dedup.blocking_keys(F.col("form"))).alias("key")))
+    for threshold in (0.82, 0.6):
+        one, other = (sorted(map(tuple, x.collect())) for x in (votes.block_signals(forms, threshold), dedup.pair_signals(pairs, forms.withColumn("rare", rare), threshold)))
+        assert one == other and len(one) > 1000
+        assert {(r[2] | r[3], r[4]) for r in one} == {(False, False), (True, False), (True, True)}
+    monkeypatch.setattr(votes, "edits_within", None)
+    words = [rng.choice(names) for _ in range(300)]
+    near = votes.Block([" ".join(w for k, w in enumerate(words) if k % 60 != i) + f" end{i}" * (i % 3) for i in range(12)])
+    assert all(near.near(i, j, 0.82) for i in range(12) for j in range(12))
+
+
+def test_edit_distances_of_bits_are_those_of_tables(spark):
+    from quotegraph.operators import votes
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 90)))) for _ in range(24)]
+    texts += [t[:20] + "xyz" + t[20:] for t in texts[:12]]
+    pairs = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    for r in pairs.select("x", "y", F.levenshtein("x", "y").alias("d")).collect():
+        assert [*votes.distances(r["x"], r["y"])][-1] == r["d"]
+        assert all(votes.edits_within(r["x"], r["y"], most) == (r["d"] <= most) for most in (0, 2, 8, max(r["d"] - 1, 0), r["d"]))
+
+
 def test_works_are_linked_in_whole_texts(spark, tmp_path):
     from quotegraph.rule_queries import QUERIES
 
